@@ -20,9 +20,9 @@ by row); a null doc_id sorts first; an empty table makes an empty store; other c
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +36,40 @@ from factloom.llm.common import discard, mix, scratch_path, staged
 
 #: Chunk bounds in ids: none is cut before LEAST, all are cut at MOST, one id in MASK + 1 is a border.
 LEAST, MOST, MASK, SPAN = 256, 8192, 1023, 16
-#: Words whose ids an encoder keeps at a time; the memory of a worker is bounded by it.
-CACHE = 600_000
+#: Pieces of text whose ids an encoder keeps at a time; the memory of a worker is bounded by it.
+CACHE = 700_000
 
 _GEAR = mix(np.arange(1 << 16, dtype=np.uint64)).astype(np.uint32)
 
 
-class Encoder:
-    """The library's tokenizer over whole texts, with the ids of single words kept.
+#: Latin-1 in lower case with '\\n' as ' ', and the class of each byte: a for letters and digits, ' ' for white space.
+_LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 or (192 <= c <= 222 and c != 215) else c for c in range(256))
+_CLASS = bytes(97 if chr(c).isalnum() else 32 if chr(c).isspace() else 46 for c in range(256))
+_WORD = re.compile(rb"([a-z\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Numbers(dict):
+    """Numbers for pieces in order of first sight; `new` lists those that have no ids yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes | str] = []
+
+    def __missing__(self, piece: bytes | str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
 
-    Splitting at ' ' and '\\n' is exact for tokenizers that drop white space before they pair letters (the
-    word_bpe family): no token spans it. With by_word False each text goes to the library whole.
+
+class Encoder:
+    """The library's tokenizer over whole texts, with the ids of pieces of text kept.
+
+    With by_word, for tokenizers that normalise by NFC and lower case and part words at white space and between
+    letters and punctuation (the word_bpe family), a text is split at ' ' and '\\n', which no token spans. Latin-1
+    texts are put in lower case first, and their commas and full stops split off, where this cannot change a token:
+    no two marks touch and no special token can be in the text. A piece that is a word, with marks behind it
+    or not, is the word's ids and the marks'; new words go to the library many at a time, and each ends with a token
+    that ends a word. All other pieces go to the library as they are. Without by_word each text does.
     """
 
     def __init__(self, path: str, end_id: int, width: int, by_word: bool = True):
@@ -54,28 +77,108 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
-        if self.tokenizer.get_vocab_size() > 256**width or end_id >= 256**width:
+        size = self.tokenizer.get_vocab_size()
+        if size > 256**width or end_id >= 256**width:
             raise ValueError("ids do not fit the width")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.by_word, self.known = by_word, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
+        self.by_word, self.end_id = by_word, end_id
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.marks: dict[bytes, np.ndarray] = {}
+        self.flat = np.zeros(1 << 16, self.kind)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+        self.numbers[None] = 0  # the end of a text
+        self._put_all([0], [np.array([self.end_id], self.kind)])
+
+    def _put(self, numbers: list[int] | np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of numbered pieces, back to back in flat."""
+        while len(self.numbers) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.used += len(flat)
+
+    def _put_all(self, numbers: list[int], ids: list[np.ndarray]) -> None:
+        if ids:
+            self._put(numbers, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words back to back, and how many each has."""
+        text = b" ".join(words).decode("latin-1")
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) == len(words):
+            return ids, np.diff(stops, prepend=0)
+        each = self._whole(text.split(" "))  # not of this family after all
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self) -> None:
+        new, first = self.numbers.new, len(self.numbers) - len(self.numbers.new)
+        self.numbers.new = []
+        alone, words, marked, other = [], [], [], []
+        match = _WORD.fullmatch
+        for k, piece in enumerate(new, first):
+            m = match(piece) if type(piece) is bytes else None
+            if m is None:
+                other.append((k, piece))
+            elif m[2]:
+                marked.append((k, m[1], m[2]))
+            else:
+                alone.append(k)
+                words.append(piece)
+        for at in range(0, len(words), 20_000):
+            self._put(alone[at : at + 20_000], *self._words(words[at : at + 20_000]))
+        if marked:
+            if fresh := list({marks for _, _, marks in marked}.difference(self.marks)):
+                self.marks.update(zip(fresh, self._whole([m.decode("latin-1") for m in fresh]), strict=True))
+            flat, sizes = self._words([w for _, w, _ in marked])
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            self._put_all([k for k, _, _ in marked], [np.concatenate([x, self.marks[m]]) for x, (_, _, m) in zip(parts, marked, strict=True)])
+        texts = [piece.decode("latin-1") if type(piece) is bytes else piece for _, piece in other]
+        self._put_all([k for k, _ in other], self._whole(texts))
+
+    @staticmethod
+    def _pieces(text: str) -> list:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if b"<|" in raw:
+            return text.replace("\n", " ").split(" ")
+        raw = raw.translate(_LOWER)
+        if b".." not in raw.translate(_CLASS):
+            raw = raw.replace(b",", b" ,").replace(b".", b" .")
+        return raw.split(b" ")
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each with the end id, back to back; where each text starts, and the end."""
         if not self.by_word:
-            return [np.frombuffer(b + self.end, self.kind) for b in self._whole([t or "" for t in texts])]
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        if new:
-            known.update(zip(new, self._whole(new), strict=True))
-        get = known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)) + self.end, self.kind) for p in parts]
-        return out
+            ids = [np.append(x, self.kind.type(self.end_id)) for x in self._whole([t or "" for t in texts])]
+            return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        if len(self.numbers) > CACHE:
+            self._forget()
+        every: list = []
+        ends = []
+        for t in texts:
+            every += self._pieces(t) if t else []
+            every.append(None)
+            ends.append(len(every))
+        number = np.fromiter(map(self.numbers.__getitem__, every), np.int64, len(every))
+        if self.numbers.new:
+            self._learn()
+        sizes = self.size[number]
+        stop = np.cumsum(sizes)
+        place = np.arange(stop[-1]) + np.repeat(self.start[number] - stop + sizes, sizes)
+        return self.flat[place], np.concatenate([[0], stop[np.array(ends) - 1]])
 
 
 def borders(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -137,12 +240,12 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int, by_word: bool)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 piece = batch.slice(at, 128)
-                ids = encoder.encode(piece.column("text").to_pylist())
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                cuts = borders(np.concatenate(ids).astype(np.uint32), bounds)
+                flat, bounds = encoder.encode(piece.column("text").to_pylist())
+                cuts = borders(flat.astype(np.uint32), bounds)
                 out: list[tuple] = []
-                for doc_id, x, ends in zip(piece.column("doc_id").to_pylist(), ids, cuts, strict=True):
+                for doc_id, begin, ends in zip(piece.column("doc_id").to_pylist(), bounds.tolist(), cuts, strict=False):
                     names, sizes, a = [], [], 0
+                    x = flat[begin : begin + ends[-1]]
                     for b in ends:
                         data = x[a:b].tobytes()
                         name = hashlib.sha256(data).digest()
