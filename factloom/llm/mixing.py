@@ -109,7 +109,8 @@ def mix(rows: DataFrame, block: int = 256, shard_slots: int = 4096) -> tuple[Dat
         F.pmod(_uniform(F.col("rank"), F.col("slot"), F.lit("shard")), F.col("shards")).alias("shard"),
         _permuted(F.col("slot"), F.col("blocks"), F.col("rank")).alias("block"),
     )
-    pieces = slots.join(blocks, ["rank", "block"]).select("shard", "rank", "slot", "turn", "row", "first", "n")
+    # Spark knows the size of the chunks before they grow, so it would broadcast the slots: forbidden.
+    pieces = slots.hint("merge").join(blocks, ["rank", "block"]).select("shard", "rank", "slot", "turn", "row", "first", "n")
     return docs.drop("draw", "bucket"), pieces
 
 
