@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,11 @@ class BlobCache:
         return self.spark.read.parquet(f"{self._at(key)}/facts.parquet")
 
     def verified(self, key: str) -> bool:
-        return self.readable(key) and content_digest(self.load(key)) == self.header(key)["digest"]
+        """Whether the facts are what the header says; a header or facts that cannot be read are not."""
+        try:
+            return self.readable(key) and content_digest(self.load(key)) == self.header(key)["digest"]
+        except (Py4JJavaError, PySparkException, ValueError, KeyError):
+            return False
 
     def remove_invalid(self, key: str) -> bool:
         """Delete a blob whose facts are not what its header says; whether it did."""

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.schema import FactError
 
 _PROV = "STRUCT<backend:STRING,backend_version:STRING,protocol_version:INT,analysis_options:STRING>"
 _RANGE = "STRUCT<start:BIGINT,end:BIGINT>"
 _STATE = "freshness:STRING,completeness:STRING,provenance:INT"
-SCHEMA_DDL = (
+SCHEMA = (
     "source_unit STRUCT<id:STRING,component:STRING,path:STRING,language:STRING,origin:STRING,content:STRING,context:STRING>,"
     f" public_api_fingerprint STRING, completeness STRING, provenances ARRAY<{_PROV}>,"
     f" symbols ARRAY<STRUCT<id:STRING,language:STRING,kind:STRING,name:STRING,qualified_name:STRING,signature:STRING,owner:STRING,modifiers:ARRAY<STRING>,applied_symbols:ARRAY<STRING>,declaration:{_RANGE},name_range:{_RANGE},{_STATE}>>,"
@@ -23,7 +22,6 @@ SCHEMA_DDL = (
     f" types ARRAY<STRUCT<id:STRING,language:STRING,display:STRING,{_STATE}>>,"
     f" diagnostics ARRAY<STRUCT<range:{_RANGE},severity:STRING,code:STRING,message:STRING,{_STATE}>>"
 )
-SCHEMA: T.StructType = T._parse_datatype_string(SCHEMA_DDL)  # type: ignore[assignment]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
