@@ -15,6 +15,7 @@ from factloom.oracle import sql
 from factloom.plans import capability, kql, navigate, status
 from factloom.plans.index import materialise
 from factloom.schema import PROTOCOL_VERSION
+from factloom.sources import sinks, snapshots
 from factloom.sources.staging import folder
 from factloom.sources.store import Store
 
@@ -533,6 +534,36 @@ _add(
     "SELECT o.source_unit_id, CASE WHEN n.source_unit_id IS NULL THEN 'unknown_unit' WHEN n.content_fp <> o.content_fp THEN 'content_mismatch' WHEN n.context_fp <> o.context_fp THEN 'context_mismatch' END AS problem FROM f_old o LEFT JOIN f_now n USING (source_unit_id) WHERE n.source_unit_id IS NULL OR n.content_fp <> o.content_fp OR n.context_fp <> o.context_fp",
 )(lambda f: validate.snapshot_problems(f["current_units"], f["persisted_units"].withColumn("provenance", F.struct(F.lit(PROTOCOL_VERSION).alias("protocol_version"))), {}))
 
+_add("json_records", """SELECT '{"status":"ok","symbol_id":"' || symbol_id || '","name":"' || name || '"}' AS line FROM f_symbols WHERE symbol_id LIKE 'nation:%'""")(
+    lambda f: sinks.records(f["symbols"].where("symbol_id like 'nation:%'").select("symbol_id", "name"))
+)
+_add("page_scan", "SELECT source_unit_id FROM f_units WHERE source_unit_id > 'doc:3' ORDER BY source_unit_id LIMIT 64")(lambda f: snapshots.page(f["source_units"].select("source_unit_id"), "source_unit_id", "doc:3", 64)[0])
+_add("component_shards", "SELECT component_id, count(*) AS n FROM f_units GROUP BY component_id")(lambda f: sinks.shards(f["source_units"]))
+_add("materialise_budget", f"SELECT source_unit_id FROM ({_DEP}) WHERE action = 'cache_miss' ORDER BY source_unit_id LIMIT 5")(lambda f: sinks.within_budget(diff.misses(_dependency_plan(f)), "source_unit_id", 5))
+_add("generic_context", "SELECT doc_id, 'List<' || lang || '>' AS context FROM documents")(
+    lambda f: f.raw("documents").select("doc_id", F.concat(F.lit("val x: List<"), "lang", F.lit("> = y")).alias("t"), F.octet_length("lang").alias("n")).select("doc_id", text.generic_context(F.col("t"), F.lit(12), F.lit(12) + F.col("n")).alias("context"))
+)
+_add("utf16_offsets", "SELECT doc_id, strlen(left(text, 40))::BIGINT AS byte FROM documents WHERE length(text) > 50")(
+    lambda f: f.raw("documents").where(F.char_length("text") > 50).select("doc_id", text.utf16_to_utf8(F.substring("text", 1, 50), F.lit(40)).alias("byte"))
+)
+_add("named_strings", "SELECT p_partkey, p_brand || ',' || p_type AS found FROM part")(
+    lambda f: f.raw("part").select("p_partkey", F.array_join(values.named_strings(F.concat(F.lit('@X(name = ["'), "p_brand", F.lit('", "'), "p_type", F.lit('"], y = "z")')), "name"), ",").alias("found"))
+)
+_add("callable_keys", "SELECT s_suppkey, 'pkg.' || s_name || '.run(a.B.C,int)' AS k FROM supplier")(
+    lambda f: f.raw("supplier").select("s_suppkey", values.callable_key(F.lit("pkg"), F.col("s_name"), F.lit("run"), F.array(F.lit("a/B$C"), F.lit("int"))).alias("k"))
+)
+_add("slash_path", "SELECT workspace_path FROM f_units")(lambda f: f["source_units"].select(values.slash_path(F.concat(F.lit("/ws/"), "workspace_path"), F.lit("/ws")).alias("workspace_path")))
+_add("evidence_key", "SELECT s_suppkey, 'a.b|symbol:' || s_name || '|x|1|o' AS k FROM supplier")(
+    lambda f: f.raw("supplier").select("s_suppkey", values.evidence_key(F.lit("a.b"), F.concat(F.lit("symbol:"), "s_name"), F.lit("x"), F.lit("1"), F.lit("o")).alias("k"))
+)
+_add("declared_types", "SELECT s_suppkey, 'a.b' AS package, 'T' || s_suppkey AS types FROM supplier")(
+    lambda f: f.raw("supplier").select("s_suppkey", F.concat(F.lit("package a.b\nclass T"), F.col("s_suppkey"), F.lit(" {}")).alias("t")).select("s_suppkey", values.package_of(F.col("t")).alias("package"), F.array_join(values.declared_types(F.col("t")), ",").alias("types"))
+)
+_add(
+    "multi_file_digest",
+    "SELECT component_id, 'sha256:' || sha256(unhex(string_agg(hex(workspace_path) || '00' || lpad(to_hex(strlen(left(text, 50))), 16, '0') || hex(left(text, 50)), '' ORDER BY workspace_path))) AS d FROM f_units GROUP BY component_id",
+)(lambda f: f["source_units"].join(f["text_documents"].select("workspace_path", "content"), "workspace_path").groupBy("component_id").agg(digest.files(F.col("workspace_path"), F.substring("content", 1, 50)).alias("d")))
+
 # --- sinks, read back ------------------------------------------------------------------------------------------------------
 
 

@@ -79,6 +79,35 @@ def decode(snapshots: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     return units, tables
 
 
+def encode(units: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """Snapshots in the shape that read() takes: one row a unit, the provenance dictionary and occurrence positions.
+
+    The dictionary is the unit's own provenance and then the others' in order; an edge names its occurrence's place.
+    """
+    prov = "STRUCT<backend:STRING,backend_version:STRING,protocol_version:INT,analysis_options:STRING>"
+    state = lambda: [F.col("freshness").alias("freshness"), F.col("completeness").alias("completeness")]
+    span = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
+    place = F.struct("start_byte", "end_byte", "kind", F.coalesce("target", F.lit("")).alias("t"))
+    occ = facts["occurrences"]
+    used = occ.select("source_unit_id", "provenance").unionByName(units.select("source_unit_id", "provenance")).where("provenance is not null")
+    others = used.groupBy("source_unit_id").agg(F.array_sort(F.collect_set("provenance")).alias("all"))
+    base = units.join(others, "source_unit_id", "left").withColumn("provenances", F.concat(F.array(F.col("provenance").cast(prov)), F.array_except(F.coalesce("all", F.array().cast(f"array<{prov}>")), F.array("provenance"))))
+    listed = occ.groupBy("source_unit_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.struct(span("start_byte", "end_byte").alias("range"), "kind", "enclosing_symbol", "target", "type_id", "precision", *state(), "provenance").alias("o")))).alias("occ"))
+    out = base.join(listed, "source_unit_id", "left")
+    for name, extra in (("references", ()), ("calls", ("caller",))):
+        table = {"references": "reference_edges", "calls": "call_edges"}[name]
+        if table in facts:
+            grouped = facts[table].groupBy("source_unit_id").agg(F.collect_list(F.struct(place.alias("place"), "target", *extra, "precision")).alias(name))
+            out = out.join(grouped, "source_unit_id", "left")
+    index = lambda p: (F.array_position("provenances", p) - 1).cast("int")
+    places = F.transform("occ", lambda x: x["place"])
+    plain = F.transform("occ", lambda x: x["o"].withField("provenance", index(x["o"]["provenance"])))
+    edge = lambda name: F.transform(name, lambda e: e.dropFields("place").withField("occurrence", (F.array_position(places, e["place"]) - 1).cast("int")))
+    unit = F.struct(F.col("source_unit_id").alias("id"), F.col("component_id").alias("component"), F.col("workspace_path").alias("path"), "language", "origin", F.col("content_fp").alias("content"), F.col("context_fp").alias("context"))
+    edges = [edge(n).alias(n) for n in ("references", "calls") if n in out.columns]
+    return out.select(unit.alias("source_unit"), F.col("public_api_fp").alias("public_api_fingerprint"), "completeness", "provenances", plain.alias("occurrences"), *edges)
+
+
 def page(rows: DataFrame, key: str, after: str | None, most: int) -> tuple[DataFrame, str | None]:
     """(rows of a page, the cursor of the next or null), by key; 1 to 64 rows."""
     if not 1 <= most <= 64:

@@ -497,3 +497,54 @@ def test_schema_checks(spark):
     with pytest.raises(schema.FactError):
         schema.assert_unique(df, ["k", "v"])
     assert schema.out_of_domain(spark.createDataFrame([("fresh",), ("odd",)], "freshness string")).count() == 1
+
+
+# --- commands and sinks ---------------------------------------------------------------------------------------
+
+
+def test_commands_end_to_end(spark, tmp_path):
+    from factloom.plans import commands
+
+    queries = tmp_path / ".factloom" / "queries"
+    queries.mkdir(parents=True)
+    (queries / "sub.kql").write_text("command sub(t: symbol-id) {\n from subtype_of($t)\n limit 10\n}")
+    package = tmp_path / ".factloom" / "query-packages" / "acme"
+    (package / "commands").mkdir(parents=True)
+    (package / "package.toml").write_text('format = 1\nrequires_core = "^1"\nid = "acme"\nversion = "1.0.0"\n[exports]\ncommands = ["echo"]\n[[capabilities]]\nname = "not.offered"\nversion = 1\nrequired = true\n')
+    (package / "commands" / "echo.kql").write_text('command echo() {\n from applies(symbol-id("ann"))\n limit 10\n}')
+    registry, facts = packages.Registry().load(str(tmp_path)), make_facts(spark)
+    assert commands.available(str(tmp_path), registry) == ["sub", "acme.echo"]
+    assert commands.describe(str(tmp_path), "acme.echo", registry)["negotiations"] == [{"name": "not.offered", "version": 1, "status": "missing"}]
+    found = commands.run(str(tmp_path), "sub", {"t": "p"}, registry, facts)
+    assert found.status == "ok" and found.rows.count() == 3
+    assert commands.run(str(tmp_path), "sub", {}, registry, facts).status == "invalid_request"
+    assert commands.run(str(tmp_path), "acme.echo", {}, registry, facts).status == "unsupported"
+    now = spark.createDataFrame([("u1.kt", "new"), ("u2.kt", "f2")], "workspace_path string, content_fp string")
+    assert commands.run(str(tmp_path), "sub", {"t": "p"}, registry, facts, current=now).status == "stale"
+
+
+def test_sinks(spark, tmp_path):
+    from factloom.sources import sinks
+
+    df = spark.createDataFrame([("a", 1, None)], "symbol_id string, n long, none string")
+    assert sinks.records(df).first().line == '{"status":"ok","symbol_id":"a","n":1}' and sinks.short(df, "symbol_id", "none").first().line == "a\t-"
+    sinks.write_records(df, f"file://{tmp_path}/out")
+    assert spark.read.text(f"file://{tmp_path}/out").count() == 1
+    said = []
+    assert sinks.print_answer(answer.Answer("ok", df), said.append) == 0 and json.loads(said[0])["result"][0]["symbol_id"] == "a"
+    assert sinks.targets([" b ", "", '{"symbol_id": "a"}', said[0], "b"]) == ["a", "b"] and sinks.targets([], "x") == ["x"]
+    pages = {None: ([("k1", "old"), ("k2", "x")], "c1"), "c1": ([("k1", "new")], None)}
+    assert rows(sinks.paged(pages.__getitem__, spark, "k string, v string", "k")) == [("k1", "new"), ("k2", "x")]
+    with pytest.raises(ValueError):
+        sinks.paged(lambda c: ([("k", "v")], "same"), spark, "k string, v string", "k")
+
+
+def test_snapshots_are_encoded_and_decoded(spark, tmp_path):
+    folder = write(tmp_path / "in", snapshot("u1"), snapshot("u2"))
+    units, facts = snapshots.decode(snapshots.read(spark, folder))
+    snapshots.encode(units, facts).write.json(f"file://{tmp_path}/out")
+    again_units, again = snapshots.decode(snapshots.read(spark, f"file://{tmp_path}/out"))
+    assert rows(again_units.select("source_unit_id", "content_fp", "provenance.backend")) == rows(units.select("source_unit_id", "content_fp", "provenance.backend"))
+    for name in ("occurrences", "reference_edges"):
+        columns = ("source_unit_id", "start_byte", "end_byte", "kind", "target", "provenance.backend")
+        assert rows(again[name].select(*columns)) == rows(facts[name].select(*columns))
