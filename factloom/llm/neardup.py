@@ -11,8 +11,8 @@ Steps (no step emits a group's pairs, or gathers a group in a task or the driver
   1. equal texts collapse into one node (a text's MD5), whatever their number;
   2. ROWS coordinates make a band; nodes that share a band's value share a bucket;
   3. every node is checked exactly against the lowest node of each of its buckets;
-  4. components of the links so found; buckets that still hold two components are compared whole, in
-     blocks of at most BLOCK nodes a side, each task emitting only links that join components;
+  4. components of the links so found; in buckets that still hold two components the nodes of different ones
+     are all compared, in blocks of about BLOCK nodes a side, each task emitting only links that join components;
   5. components again. With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket once in 300,000.
 
 Cases: a null text is in no group (its own class); empty texts and texts of white space only equal copies
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.llm.common import mix, staged, text_slices, word_hashes
+from factloom.llm.common import mix, packed, staged, text_slices, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -191,31 +191,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def _whole_buckets(members: DataFrame, texts: DataFrame, similar: float, bands: int) -> DataFrame:
-    """Links (a, b) between different roots in the same bucket of members (bucket, node, root, weight, bands).
+    """Links (a, b) between different roots in the same bucket of members (bucket, node, root).
 
-    A bucket is cut into blocks by a hash of the node; each pair of blocks is a group of at most about
-    2 * BLOCK nodes. A pair that meets in several buckets is compared in its first one. A task keeps a union-find
-    over its group and emits a link only where it joins two components.
+    A bucket's largest component needs no comparison in itself. It and the rest are each cut into blocks of about
+    BLOCK nodes by a hash; every block of the rest meets every block of the largest, and every other block of the
+    rest once. So a bucket in which a few nodes are left beside a large component is sent about once. A pair
+    that meets in several buckets is compared in its first one. A task keeps a union-find over its group and emits
+    a link only where it joins two components.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK))
-    mine = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks"))
-    # Block i meets i, i+1, ..., around the circle to half of all: every pair of blocks once.
-    reach = F.sequence(F.lit(0).cast("long"), F.floor(F.col("blocks") / 2))
-    spread = (
-        members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("i", mine)
-        .select("bucket", "node", "root", "weight", "bands", "blocks", "i", F.explode(reach).alias("gap"))
+    per_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).select(
+        "bucket", F.col("top.root").alias("top"),
+        F.ceil(F.col("top.n") / F.lit(BLOCK)).alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(BLOCK)).alias("rests"),
     )
-    left = spread.select("bucket", "gap", F.col("i").alias("home"), "node", "root", "weight", "bands", F.lit(True).alias("is_left"))
-    right = spread.where("gap > 0").select(
-        "bucket", "gap", F.pmod(F.col("i") - F.col("gap"), F.col("blocks")).alias("home"), "node", "root", "weight", "bands", F.lit(False).alias("is_left")
+    mine = members.join(sizes, "bucket").withColumn("in_top", F.col("root") == F.col("top"))
+    mine = mine.withColumn("i", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rests"))))
+    zero = F.lit(0).cast("long")
+    group = lambda kind, x, y, left: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(left).alias("is_left"))
+    every = lambda n: F.sequence(zero, F.col(n) - 1)
+    # Around the circle of the rest's blocks to half of it; the last step of an even circle would come twice.
+    around = F.filter(F.sequence(zero, F.floor(F.col("rests") / 2)), lambda g: (2 * g != F.col("rests")) | (F.col("i") < g))
+    behind = F.filter(F.sequence(zero, F.floor(F.col("rests") / 2)), lambda g: (g > 0) & ((2 * g != F.col("rests")) | (F.pmod(F.col("i") - g, F.col("rests")) < g)))
+    of_top = F.transform(every("rests"), lambda j: group(0, F.col("i"), j, True))
+    of_rest = F.concat(
+        F.transform(every("tops"), lambda j: group(0, j, F.col("i"), False)),
+        F.transform(around, lambda g: group(1, F.col("i"), g, True)),
+        F.transform(behind, lambda g: group(1, F.pmod(F.col("i") - g, F.col("rests")), g, False)),
     )
-    full = left.union(right).join(texts, "node")
+    # Texts are met before the rows grow: once for each bucket that a node is in.
+    met = mine.select("bucket", "node", "root", F.when(F.col("in_top"), of_top).otherwise(of_rest).alias("gs")).join(texts, "node")
+    full = met.select("bucket", "node", "root", "weight", "bands", "text", F.explode("gs").alias("g")).select("*", "g.*").drop("g")
 
     def compare(table: pa.Table) -> pa.Table:
         node, root, weight = (np.asarray(table.column(c)) for c in ("node", "root", "weight"))
         code = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, bands)
-        is_left, gap = np.asarray(table.column("is_left")), table.column("gap")[0].as_py()
+        is_left = np.asarray(table.column("is_left"))
+        inside = table.column("kind")[0].as_py() == 1 and table.column("y")[0].as_py() == 0
         here = int(np.flatnonzero((code == table.column("bucket")[0].as_py()).all(0))[0])
         parts = []
         for chunk, base in zip(table.column("text").chunks, np.cumsum([0, *map(len, table.column("text").chunks)]), strict=False):
@@ -241,7 +252,7 @@ def _whole_buckets(members: DataFrame, texts: DataFrame, similar: float, bands:
             shared += dense @ dense.T
         near = shared >= similar * (weight[:, None] + weight[None, :] - shared) - 1e-6
         near &= root[:, None] != root[None, :]
-        near &= np.triu(np.ones_like(near), 1) if gap == 0 else is_left[:, None] & ~is_left[None, :]
+        near &= np.triu(np.ones_like(near), 1) if inside else is_left[:, None] & ~is_left[None, :]
         parent = {r: r for r in root.tolist()}
 
         def find(x: int) -> int:
@@ -260,7 +271,7 @@ def _whole_buckets(members: DataFrame, texts: DataFrame, similar: float, bands:
                 out.append((int(root[i]), int(root[j])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return full.groupBy("bucket", "gap", "home").applyInArrow(compare, "a long, b long")
+    return full.groupBy("bucket", "kind", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def _key(text: Column) -> Column:
@@ -268,7 +279,8 @@ def _key(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, class_id, class_docs, class_texts) for each distinct text: key is md5(text), class_id the lowest doc_id."""
+    """(key, class, class_id, class_docs, class_texts) for each distinct text: key is md5(text), class a number of
+    this run, class_id the class's lowest doc_id."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), _key(F.col("text")).alias("key")).where("text is not null")
     signed = staged(_signed(keyed, bands, rows), "signed")
     per_text = signed.groupBy("key").agg(
@@ -279,23 +291,23 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
     meeting = staged(banded.join(buckets, "bucket").select("bucket", "node", "low"), "meeting")
     pairs = meeting.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = meeting.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node")
+    wanted = meeting.select("node").distinct().join(nodes.select("node", "key", "doc_id", "weight", "bands"), "node")
     texts = staged(
-        keyed.join(wanted.withColumnRenamed("doc_id", "rep"), "key").where("doc_id <=> rep").dropDuplicates(["key"]).select("node", "text"), "texts"
+        keyed.join(wanted.withColumnRenamed("doc_id", "rep"), "key").where("doc_id <=> rep").dropDuplicates(["key"]).select("node", "text", "weight", "bands"), "texts"
     )
-    links = staged(_verified(pairs, texts, similar), "links")
+    links = staged(_verified(pairs, texts.select("node", "text"), similar), "links")
     first = _components(links)
     named = meeting.join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     # In a bucket of two nodes the only pair has been checked already.
     open_buckets = mixed.where("n > 2").select("bucket")
-    members = named.join(open_buckets, "bucket").join(nodes.select("node", "weight", "bands"), "node")
+    members = named.join(open_buckets, "bucket")
     more = _whole_buckets(staged(members, "members"), texts, similar, bands)
     second = staged(_components(more).toDF("root", "top"), "roots")
     rooted = nodes.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).join(second, "root", "left")
     rooted = rooted.select("key", "doc_id", "copies", F.coalesce("top", "root").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_docs"), F.count("*").alias("class_texts"))
-    return rooted.join(classes, "root").select("key", "class_id", "class_docs", "class_texts")
+    return rooted.join(classes, "root").select("key", F.col("root").alias("class"), "class_id", "class_docs", "class_texts")
 
 
 def op3_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -308,9 +320,12 @@ def op3_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the one with the lowest doc_id; null texts stay."""
-    classes = staged(near_duplicates(docs).select(F.col("key").alias("_key"), "class_id"), "classes")
-    kept = docs.withColumn("_key", _key(F.col("text"))).join(classes, "_key", "left")
-    rest = kept.where("_key is null")
-    first = kept.where("_key is not null and (doc_id <=> class_id)").dropDuplicates(["_key"])
-    return rest.unionByName(first).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with one document of each class, the one with the lowest doc_id; null texts stay.
+
+    Rows that share a doc_id in a class are one document: one of them stays.
+    """
+    classes = staged(near_duplicates(docs).select("key", "class", "class_id"), "classes")
+    kept = packed(docs, "doc_id", "text").withColumn("key", _key(F.col("text"))).drop("text").join(classes, "key", "left")
+    rest = kept.where("key is null").select("_doc.*")
+    first = kept.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["class"])
+    return rest.unionByName(first.select("_doc.*"))
