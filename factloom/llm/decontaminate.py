@@ -7,12 +7,13 @@ word inside an occurrence of a window is hit.
 
 Cases: null or empty texts have no words and are never contaminated; items without words have no
 window; repeated rows and repeated items are handled row by row; an empty benchmark hits nothing; extra
-columns pass through untouched. No text is cut, however long.
+columns pass through untouched (ones named bench_... are replaced by find_benchmark). No text is cut, however long.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.common import packed
+
 #: Bytes that part words (all ASCII but 0-9 A-Z a-z) become spaces, A-Z become a-z.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -148,6 +151,17 @@ class SuffixAutomaton:
         spans.append((start, stop))
 
 
+_built: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(key: str, items: list[tuple[int, list[bytes]]], window: int) -> SuffixAutomaton:
+    """The process's automaton: built once for all tasks that a Python worker runs; one is kept."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = SuffixAutomaton(items, window)
+    return _built[key]
+
+
 def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for span in sorted([*a, *b]):
@@ -155,11 +169,11 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, words_per_automaton: int = 1_000_000) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, words_per_automaton: int = 400_000) -> DataFrame:
     """docs with bench_n_words, bench_spans (word positions), bench_longest and bench_items.
 
     The benchmark's size is measured first. Each automaton covers whole items of about
-    words_per_automaton words in all (only that much goes to executors at a time); a benchmark above
+    words_per_automaton words at most by their lengths (some 100 MB in a Python worker); a benchmark above
     this bound is worked through in several passes chained over the same documents, without a shuffle.
     """
     sized = benchmark.select(
@@ -178,11 +192,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, word
 def _pass(docs: DataFrame, items: list[tuple[int, list[bytes]]], window: int, first: bool) -> DataFrame:
     schema = T.StructType([*(f for f in docs.schema.fields if f.name not in RESULT.names), *RESULT.fields])
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
     arrow = [RESULT_ARROW.field(i) for i in range(len(RESULT_ARROW))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(shared.value, window)
+        automaton = _automaton(key, shared.value, window)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
@@ -226,10 +240,12 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, mo
     spans of at least most_longest words are cut from its text (at word borders; what stands between two
     kept words stays). Documents without a hit stay as they are. Null texts stay.
     """
-    found = find_benchmark(docs, benchmark, window)
+    found = find_benchmark(packed(docs, "text"), benchmark, window)
     share = hit_words() / F.greatest(F.col("bench_n_words"), F.lit(1))
     kept = found.where(share <= most_coverage)
-    schema = docs.schema
+    if most_coverage <= 0:  # nothing that stays has a hit
+        return kept.select("_doc.*")
+    schema = T.StructType([kept.schema["_doc"], T.StructField("text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -244,12 +260,9 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, mo
                     for s in reversed(spans):
                         text = text[: at[s["start"]][0]] + text[at[s["stop"] - 1][1] :]
                 texts.append(text)
-            named = {name: batch.column(name) for name in schema.names} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([named[n] for n in schema.names], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "text"])
 
-    if most_coverage <= 0:  # nothing that stays has a hit
-        return kept.select(*(F.col(f"`{c}`") for c in schema.names))
-    return kept.mapInArrow(cut, schema)
+    return kept.select("_doc", "text", "bench_spans").mapInArrow(cut, schema).select(F.col("_doc").withField("text", F.col("text")).alias("_doc")).select("_doc.*")
 
 
 def op9_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

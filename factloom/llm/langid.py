@@ -7,7 +7,8 @@ a penalty in the style of BIC.
 
 Cases: a text that is null or has no letter is `und` with score 0 and no languages; without any labelled
 text all documents are `und`; case, digits, punctuation and white space do not count; texts are read whole,
-however long; extra columns pass through; repeated rows get equal results.
+however long; extra columns pass through (ones named as predict's results are replaced there); repeated rows get equal
+results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import text_slices
+from factloom.llm.common import packed, text_slices
 
 BITS = 14
 _SPACE = 32
@@ -179,5 +180,5 @@ def keep_languages(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
     """docs whose language is known and holds at least least_share of them, in their own columns."""
     held = fold_of(5) == 0
     model = fit(docs.where(~held).select("doc_id", "text", "lang"))
-    kept = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least_share))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = predict(packed(docs, "text"), model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least_share))
+    return kept.select("_doc.*")

@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier over word n-grams, with DataFrame functions only.
 
 Training paragraphs are cut from the families' notices below (windows of several lengths, so that partial
-notices are known too); paragraphs of the corpus without a notice word are the class `none`. A multinomial
+notices are known too); paragraphs of the corpus that are unlike every notice are the class `none`. A multinomial
 logistic regression with an L1 penalty over hashed words and word pairs is fitted by Spark's own JVM
 implementation; its weights become one constant array that scores paragraphs inside the scan, without a
 shuffle. A paragraph that is likelier a licence than not, but whose best family is under a floor calibrated
@@ -70,10 +70,17 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+#: Words of which a notice has at least one; a paragraph without them is no licence.
+ANCHORS = (
+    "apache", "attribution", "bsd", "cc", "cc0", "commons", "confidential", "copying", "copyright", "creative", "distributed", "gnu", "gpl",
+    "granted", "licence", "license", "licensed", "licenses", "mit", "mozilla", "mpl", "permission", "permitted", "proprietary", "redistribute",
+    "redistribution", "reserved", "unauthorized", "unencumbered", "waived",
+)
 BUCKETS = 1024
 #: Documents that the class `none` is sampled from, and paragraphs taken.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 2000, 2000
-SHARED = 0.6
+#: Share of the shorter one's words and pairs that a paragraph and a notice have in common: to confirm, and at most for `none`.
+SHARED, UNLIKE = 0.6, 0.34
 
 
 def words(line: Column) -> Column:
@@ -111,11 +118,21 @@ def _windows(notices: DataFrame) -> DataFrame:
     return cut.groupBy("w").agg(F.min("family").alias("family"), F.count_distinct("family").alias("n")).where("n = 1").select("family", "w")
 
 
+def _known() -> Column:
+    """The notices with their words and pairs, as a constant."""
+    notices = [{"family": f, "grams": _grams(x)} for f, lines in NOTICES.items() for x in lines]
+    return _constant(notices, "array<struct<family:string,grams:array<string>>>")
+
+
+def _share(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
+
+
 class Scanner:
-    """The fitted classifier as constants: anchors, weights, families, floor."""
+    """The fitted classifier as constants: weights, families, floor."""
 
-    def __init__(self, families: list[str], weights: list[list[float]], bias: list[float], floor: float, anchors: list[str]):
-        self.families, self.weights, self.bias, self.floor, self.anchors = families, weights, bias, floor, anchors
+    def __init__(self, families: list[str], weights: list[list[float]], bias: list[float], floor: float):
+        self.families, self.weights, self.bias, self.floor = families, weights, bias, floor
 
     def _probabilities(self, g: Column) -> Column:
         table = _constant(self.weights, "array<array<double>>")
@@ -125,16 +142,14 @@ class Scanner:
 
     def paragraph(self, line: Column) -> Column:
         """struct(family, p): family is null for no licence, else a family's name or unknown."""
-        notices = [{"family": f, "grams": _grams(x)} for f, lines in NOTICES.items() for x in lines]
-        known = _constant(notices, "array<struct<family:string,grams:array<string>>>")
+        known = _known()
         names = F.array(*(F.lit(f) for f in self.families))
 
         def judge(g: Column) -> Column:
             def of(p: Column) -> Column:
                 best = F.array_max(F.slice(p, 2, len(self.families)))
                 family = F.get(names, (F.array_position(F.slice(p, 2, len(self.families)), best) - 1).cast("int"))
-                share = lambda n: F.size(F.array_intersect(g, n["grams"])) / F.least(F.size(g), F.size(n["grams"]))
-                close = F.exists(known, lambda n: (n["family"] == family) & (share(n) >= SHARED))
+                close = F.exists(known, lambda n: (n["family"] == family) & (_share(g, n["grams"]) >= SHARED))
                 sure = (best / F.greatest(1 - F.get(p, F.lit(0)), F.lit(1e-12)) >= self.floor) & close
                 return F.struct(F.when(F.get(p, F.lit(0)) < 0.5, F.when(sure, family).otherwise("unknown")).alias("family"), best.alias("p"))
 
@@ -144,7 +159,7 @@ class Scanner:
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """docs with licences: array of struct(line number from 0, family, p), for the lines that are licences."""
-        anchors = F.array(*(F.lit(a) for a in self.anchors))
+        anchors = F.array(*(F.lit(a) for a in ANCHORS))
         text = F.coalesce(F.col("text"), F.lit(""))
         # A line without a notice word is none by construction, so whole texts without one are done here.
         candidate = F.arrays_overlap(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")), anchors)
@@ -165,8 +180,8 @@ def _grams(line: str) -> list[str]:
 def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     """Train on the notices' windows and a bounded sample of paragraphs (SAMPLE_DOCS, SAMPLE_PARAGRAPHS).
 
-    Notice words are those of the notices that under 1 % of the sampled paragraphs hold. The floor is the
-    `error` quantile of the true family's probability on windows that were held out of training.
+    Sampled paragraphs that share little with every notice are the class `none`, also those with a notice word.
+    The floor is the `error` quantile of the true family's probability on windows that were held out of training.
     """
     spark = docs.sparkSession
     n = max(1, docs.count())
@@ -175,13 +190,9 @@ def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     lines = few.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).orderBy(F.xxhash64("doc_id", "i", "line")).limit(SAMPLE_PARAGRAPHS)
     sample = staged(lines.select(words(F.col("line")).alias("w")).where(F.size("w") > 0), "paragraphs")
     notices = _notices(spark)
-    used = notices.select(F.explode(F.array_distinct(words(F.col("line")))).alias("word")).where(F.length("word") > 2).distinct()
-    n_sample = max(1, sample.count())
-    usual = sample.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").count().where(F.col("count") > 0.01 * n_sample).select("word")
-    # The notices' vocabulary: under 200 words by construction.
-    anchors = sorted(r.word for r in used.join(usual, "word", "left_anti").collect())
-    plain = sample.where(~F.arrays_overlap("w", F.array(*(F.lit(a) for a in anchors))))
-    positive = _windows(notices).where(F.arrays_overlap("w", F.array(*(F.lit(a) for a in anchors))))
+    anchors = F.array(*(F.lit(a) for a in ANCHORS))
+    plain = sample.where(~F.exists(_known(), lambda n: _share(grams(F.col("w")), n["grams"]) >= UNLIKE))
+    positive = _windows(notices).where(F.arrays_overlap("w", anchors))
     families = list(NOTICES)
     names = F.array(*(F.lit(f) for f in families))
     negative = plain.select(F.lit(0.0).alias("label"), "w").union(spark.range(1).select(F.lit(0.0), F.array(F.lit("nothing"))))
@@ -191,7 +202,7 @@ def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     data = staged(rows.select("label", "w", "held", hot.alias("x")).coalesce(4), "training").withColumn("features", array_to_vector("x"))
     model = LogisticRegression(family="multinomial", maxIter=50, regParam=5e-5, elasticNetParam=1.0, standardization=False).fit(data.where(~F.col("held")))
     matrix = model.coefficientMatrix.toArray().T.round(6).tolist()
-    found = Scanner(families, matrix, model.interceptVector.toArray().tolist(), 0.0, anchors)
+    found = Scanner(families, matrix, model.interceptVector.toArray().tolist(), 0.0)
     p = found._probabilities(grams(F.col("w")))
     truth = F.get(p, F.col("label").cast("int")) / F.greatest(1 - F.get(p, F.lit(0)), F.lit(1e-12))
     floor = data.where("held").agg(F.percentile_approx(truth, error).alias("q")).first().q

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from factloom.llm.common import staged, word_count
+from factloom.llm.common import packed, staged, word_count
 
 #: Primes above 2**31: each is coprime to any smaller number of blocks.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
@@ -67,6 +67,8 @@ def _permuted(j: Column, blocks: Column, rank: Column) -> Column:
 def mix(rows: DataFrame, block: int = 256, shard_slots: int = 4096) -> tuple[DataFrame, DataFrame]:
     """rows (row, doc_id, source, size), row unique -> (documents, pieces).
 
+    row only tells rows of one doc_id and size apart.
+
     documents adds source_size and target to rows; pieces has a row for each stretch of a document's words in
     an output slot: shard, rank (of its source), slot, turn (0: first pass), row, first (word), n (words).
     """
@@ -78,12 +80,13 @@ def mix(rows: DataFrame, block: int = 256, shard_slots: int = 4096) -> tuple[Dat
     # A running sum over a source in two levels, so that no task holds a whole source: over buckets of
     # about DOCS_PER_BUCKET documents, then inside each.
     buckets = max(1, n_docs // DOCS_PER_BUCKET)
-    draw = _uniform(F.col("doc_id"), F.col("row"))
+    # The order depends on the documents alone, not on how the table lies in files: reruns agree.
+    draw = _uniform(F.coalesce(F.col("doc_id"), F.col("row")), F.col("size"))
     docs = docs.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
     sums = docs.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("rank", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    inside = W.partitionBy("rank", "bucket").orderBy("draw", "row").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("rank", "bucket").orderBy("draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = docs.where("size > 0").join(sums, ["rank", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     length = F.lit(block).cast("long")
     stop = F.col("start") + F.col("size")
@@ -135,20 +138,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Its text is those words in their order with the white space after each kept; n_chars, where it is a
     column, is that text's length. A document's words come at most twice, so it has at most two rows.
     """
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col("_row").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    numbered = staged(packed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select("row", "_doc.doc_id", "_doc.source", word_count(F.col("_doc.text")).alias("size"))
     _, pieces = mix(staged(rows, "sizes"))
-    spans = pieces.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("_spans"))
-    whole = numbered.join(spans.withColumnRenamed("row", "_row").drop("turn"), "_row")
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    spans = pieces.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
+    whole = numbered.join(spans.drop("turn"), "row")
+    words = F.regexp_extract_all("_doc.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.element_at(
         F.transform(
             F.array(words),
-            lambda w: F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["n"].cast("int")))), ""),
+            lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), s["n"].cast("int")))), ""),
         ),
         1,
     )
-    out = whole.withColumn("text", cut)
+    out = whole.select("_doc", cut.alias("cut")).withColumn("_doc", F.col("_doc").withField("text", F.col("cut")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        out = out.withColumn("_doc", F.col("_doc").withField("n_chars", F.char_length("cut").cast(docs.schema["n_chars"].dataType)))
+    return out.select("_doc.*")
