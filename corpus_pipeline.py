@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import staged, table
+from factloom.llm.common import staged, table, visible
 from factloom.llm.decontaminate import remove_benchmark
 from factloom.llm.langid import keep_languages
 from factloom.llm.mixing import mix_documents
@@ -19,11 +19,13 @@ from factloom.llm.token_store import op10_token_store
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language holds half, go."""
+    visible(spark)
     return keep_languages(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the lowest doc_id."""
+    visible(spark)
     return drop_near_duplicates(docs)
 
 
@@ -39,6 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store's digest of the mix, read back from its files."""
+    visible(spark)
     return op10_token_store(docs, word_bpe())
 
 
