@@ -37,7 +37,7 @@ from factloom.llm.common import discard, mix, scratch_path, staged
 #: Chunk bounds in ids: none is cut before LEAST, all are cut at MOST, one id in MASK + 1 is a border.
 LEAST, MOST, MASK, SPAN = 256, 8192, 1023, 16
 #: Pieces of text whose ids an encoder keeps at a time; the memory of a worker is bounded by it.
-CACHE = 700_000
+CACHE = 1_000_000
 
 _GEAR = mix(np.arange(1 << 16, dtype=np.uint64)).astype(np.uint32)
 
@@ -181,6 +181,17 @@ class Encoder:
         return self.flat[place], np.concatenate([[0], stop[np.array(ends) - 1]])
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(*of: object) -> Encoder:
+    """The process's encoder: Python workers run many tasks, and what one has learnt serves the next."""
+    if of not in _encoders:
+        _encoders.clear()
+        _encoders[of] = Encoder(*of)  # type: ignore[arg-type]
+    return _encoders[of]
+
+
 def borders(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     """Chunk ends of each text ids[bounds[i]:bounds[i+1]], relative to its start.
 
@@ -234,13 +245,13 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int, by_word: bool)
     """A recipe row for each document and a chunk row for each chunk that its task has not emitted yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id, width, by_word)
+        encode = encoder(path, end_id, width, by_word).encode
         row = TaskContext.get().partitionId() << 40
         emitted: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 piece = batch.slice(at, 128)
-                flat, bounds = encoder.encode(piece.column("text").to_pylist())
+                flat, bounds = encode(piece.column("text").to_pylist())
                 cuts = borders(flat.astype(np.uint32), bounds)
                 out: list[tuple] = []
                 for doc_id, begin, ends in zip(piece.column("doc_id").to_pylist(), bounds.tolist(), cuts, strict=False):
@@ -389,7 +400,7 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
         F.aggregate(F.slice("sizes", F.col("pos") + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, x: a + x).alias("after"),
     )
     same = F.coalesce(F.col("good") & (F.col("found") == F.col("size")), F.lit(False))
-    joined = pieces.join(chunks, "chunk", "left").withColumn("same", same)
+    joined = pieces.hint("merge").join(chunks, "chunk", "left").withColumn("same", same)
     parts = joined.select("doc_id", "row", "segment", "start", "after", "found", "same", "crc").mapInArrow(
         shift, "doc_id long, row long, segment long, start long, found long, same boolean, part long"
     )
