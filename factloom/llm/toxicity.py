@@ -9,8 +9,7 @@ the score. Most words have no feature, and a run of them multiplies the messages
 matrix: the recursions are exact, and take steps only at words with features or beside them.
 
 Cases: null and empty texts and texts without letters have no token and get the curve's score at no
-toxicity; with no training label of either kind every score is 0.5 times the share of toxic ones; case does
-not count; texts are read whole; repeated rows get equal results; extra columns pass through.
+toxicity; without training labels every score is 0.5; case does not count; texts are read whole; repeated rows get equal results; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ def features_of(word: str) -> list[str]:
 
 
 def _clusters(docs: list[list[str]]) -> list[int]:
-    """A number for each document that copies and near copies share: those that agree on a minimum of hashed shingles.
+    """A number for each document that copies and near copies share: those that agree on half the minima of hashed shingles.
 
     Counted by document, the words of one text that was copied a hundred times would look like evidence.
     """
@@ -51,7 +50,8 @@ def _clusters(docs: list[list[str]]) -> list[int]:
         codes = np.array([zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))], np.uint64)
         lows = ((codes[:, None] + np.uint64(1)) * odd[None, :] >> np.uint64(24)).min(0).tolist()
         keys = list(enumerate(lows))
-        mine = next((seen[key] for key in keys if key in seen), k)
+        met = Counter(seen[key] for key in keys if key in seen).most_common(1)
+        mine = met[0][0] if met and met[0][1] >= 3 else k
         for key in keys:
             seen.setdefault(key, mine)
         out.append(mine)
@@ -61,15 +61,12 @@ def _clusters(docs: list[list[str]]) -> list[int]:
 def _select(docs: list[tuple[list[str], int]], least_docs: int = 4, least_share: float = 0.01, least_lift: float = 8.0) -> tuple[list[str], set[str]]:
     """(features of the model, those that mark a token of a toxic document as toxic), by counts of clusters."""
     toxic, clean, n = Counter(), Counter(), [0, 0]
-    done: dict[tuple[int, int], set[str]] = {}
-    for (words, label), cluster in zip(docs, _clusters([w for w, _ in docs]), strict=True):
-        known = done.get((cluster, label))
-        if known is None:
-            known = done[cluster, label] = set()
-            n[label] += 1
-        fresh = {f for w in set(words) for f in features_of(w)} - known
-        (toxic if label else clean).update(fresh)
-        known |= fresh
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, cluster in enumerate(_clusters([w for w, _ in docs])):
+        groups.setdefault((cluster, docs[k][1]), []).append(k)
+    for (_, label), members in groups.items():
+        n[label] += 1
+        (toxic if label else clean).update({f for k in members for w in set(docs[k][0]) for f in features_of(w)})
     least = max(least_docs, least_share * n[1])
     used, marks = [], set()
     for f, a in toxic.items():
@@ -192,7 +189,8 @@ class Crf:
 
 def train(texts: list[tuple[str, int]], rounds: int = 100, decay: float = 1e-3, calm: int = 20) -> Crf:
     """Fit the CRF by gradient steps on chunks of CHUNK tokens; chunks without features are sampled, 1 in calm."""
-    docs = [([w.lower() for w in _TOKEN.findall(t)], y) for t, y in texts]
+    same: dict[str, str] = {}  # one string for each word: the driver holds the sample's words once
+    docs = [([same.setdefault(w, w) for w in _TOKEN.findall(t.lower())], y) for t, y in texts]
     names, marks = _select(docs)
     crf = Crf(names)
     rows, gold, weight = [], [], []
@@ -290,7 +288,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, per_label: int = 4000, longest: int = 50_000) -> list[tuple[str, int]]:
+def training_texts(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 50_000) -> list[tuple[str, int]]:
     """Up to per_label training documents of each label, chosen by a hash of doc_id, none over `longest` characters.
 
     This sample is the only bounded thing: per_label and longest bound what the driver holds.
