@@ -16,6 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_scratch: list[str] = []
+_written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -29,7 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    _written.append(f"{scratch_root(spark)}/factloom-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def staged(df: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
@@ -58,6 +60,12 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(whole, *(F.col(f"`{c}`") for c in columns))
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Delete every folder this process has staged; results read from them must have been written before."""
+    while _written:
+        discard(spark, _written.pop())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

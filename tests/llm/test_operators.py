@@ -281,12 +281,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 def test_main_text(spark):
     rows = [(i, f"https://h.example/{i}", PAGE.format(h=f"Head {i}", a=f"First {i}\n  text", b=f"Second <b>{i}</b>")) for i in range(5)]
-    rows += [(5, None, None), (6, "no url", ""), (7, "https://h.example/7", "<p>cut <b>of"), (8, "https://x.example/", "<script>only"), (9, "https://y.example/", "plain text only")]
+    rows += [(5, None, None), (6, "no url", ""), (7, "https://h.example/7", "<p>cut <b>of"), (8, "https://x.example/", "<script>only"), (9, "https://y.example/", "plain text only"), (10, "https://z.example/", "<html><head><title>T<body><article><p>kept")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_host", F.lit("own")).withColumn("main", F.lit("own"))
     found = {r.page_id: r for r in html_extract.op6_html(d).collect()}
     for i in range(5):
         assert found[i].text == f"Head {i}\n\nFirst {i} text\n\nSecond {i} & c next line\n\none\n\ntwo" and found[i].n_chars == len(found[i].text)
-    assert (found[5].text, found[6].text, found[7].text, found[8].text, found[9].text) == ("", "", "cut of", "", "plain text only")
+    assert (found[5].text, found[6].text, found[7].text, found[8].text, found[9].text, found[10].text) == ("", "", "cut of", "", "plain text only", "kept")
     assert html_extract.op6_html(d.limit(0)).count() == 0
 
 
