@@ -51,15 +51,15 @@ def arguments(capability: Capability, given: list[tuple[str, Value]]) -> dict[st
     out: dict[str, object] = {}
     for name, value in given:
         if name not in capability.parameters:
-            raise CapabilityError(f"unknown argument `{name}`")
+            raise CapabilityError(f"{capability.name} takes no `{name}`")
         if name in out:
-            raise CapabilityError(f"argument `{name}` is given twice")
+            raise CapabilityError(f"two values for `{name}`")
         if capability.parameters[name][0] != value.type:
-            raise CapabilityError(f"argument `{name}` has the wrong type")
+            raise CapabilityError(f"`{name}` takes a {capability.parameters[name][0]}")
         out[name] = value.value
     for name, (_, required) in capability.parameters.items():
         if required and name not in out:
-            raise CapabilityError(f"argument `{name}` is missing")
+            raise CapabilityError(f"no value for `{name}`")
     return out
 
 

@@ -60,7 +60,7 @@ class Program:
 def _quoted(text: str) -> str:
     text = text.strip()
     if len(text) < 2 or text[0] != '"' or text[-1] != '"':
-        raise QueryError("string literals must be quoted")
+        raise QueryError(f"not a quoted string: {text}")
     return text[1:-1]
 
 
@@ -78,28 +78,28 @@ def _literal(text: str, allowed: tuple[str, ...]) -> Value:
         return Value("string", _quoted(text))
     if "integer" in allowed and re.fullmatch(r"[+-]?\d+", text) and -(2**63) <= int(text) < 2**63:
         return Value("integer", int(text))
-    raise QueryError(f"unsupported value `{text}`")
+    raise QueryError(f"cannot read value `{text}`")
 
 
 def _term(text: str) -> tuple[str, Value]:
     left, equals, right = text.partition(" == ")
     if not equals:
-        raise QueryError("where terms use `==`")
+        raise QueryError(f"no ` == ` in condition `{text}`")
     if left in ("kind", "language"):
         if right not in (KINDS if left == "kind" else LANGUAGES):
-            raise QueryError(f"unsupported {left} `{right}`")
+            raise QueryError(f"no such {left}: `{right}`")
         return left, Value("string", right)
     if left == "component":
         return left, _literal(right, ()) if right.startswith("$") else Value("component-id", _quoted(right))
     if left == "qualified-name-prefix":
         return left, _literal(right, ()) if right.startswith("$") else Value("string", _quoted(right))
-    raise QueryError(f"unsupported where predicate `{left}`")
+    raise QueryError(f"no such condition: `{left}`")
 
 
 def _named(text: str, sign: str, what: str) -> tuple[str, str]:
     name, found, rest = text.strip().partition(sign)
     if not found or not matches(DOTTED, name.strip()) or "." in name:
-        raise QueryError(f"{what} use `name{sign}...` with a lower-case name")
+        raise QueryError(f"{what}: expected a plain lower-case name and `{sign}` in `{text.strip()}`")
     return name.strip(), rest.strip()
 
 
@@ -107,12 +107,12 @@ def parse(text: str) -> Program:
     lines = [x for x in map(str.strip, text.splitlines()) if x and not x.startswith("#")]
     head = re.fullmatch(r"command ([^(]*)\((.*)\) \{", lines[0]) if lines else None
     if not head or lines[-1] != "}":
-        raise QueryError("expected `command name(parameters) {` ... `}`")
+        raise QueryError("a query is `command <name>(<parameters>) {`, statements, and `}`")
     if not matches(DOTTED, head[1]):
-        raise QueryError("command name must be lower-case dotted")
+        raise QueryError(f"bad command name `{head[1]}`")
     parameters = tuple(_named(p, ":", "parameters") for p in head[2].split(",")) if head[2].strip() else ()
     if bad := [t for _, t in parameters if t not in TYPES]:
-        raise QueryError(f"unknown parameter type `{bad[0]}`")
+        raise QueryError(f"no such type: `{bad[0]}`")
     start: tuple[str, Value] | None = None
     where: list[tuple[str, Value]] = []
     steps: list[Step] = []
@@ -121,7 +121,7 @@ def parse(text: str) -> Program:
         relation = next((r for r in ("applies", "subtype_of", "implements") if _called(line, f"from {r}") is not None), None)
         if relation:
             if start:
-                raise QueryError("only one `from` is allowed")
+                raise QueryError("a second starting relation")
             symbol = _literal(_called(line, f"from {relation}") or "", ("symbol-id", "qualified-symbol"))
             start = ("applies" if relation == "applies" else "subtype_of", symbol)
         elif line.startswith("where "):
@@ -129,34 +129,34 @@ def parse(text: str) -> Program:
         elif line.startswith("using capability "):
             name, opened, rest = line[17:].partition("(")
             if not opened or not rest.endswith(")") or not matches(DOTTED, name):
-                raise QueryError("capability steps use `name(arguments)`")
+                raise QueryError(f"bad capability step `{line}`")
             pairs = [_named(a, "=", "capability arguments") for a in rest[:-1].split(",")] if rest[:-1].strip() else []
             steps.append(Step(name, tuple((n, _literal(v, ("symbol-id", "component-id", "string", "integer"))) for n, v in pairs)))
         elif line.startswith("limit "):
             if not re.fullmatch(r"\+?\d+", line[6:]) or int(line[6:]) >= 2**32:
-                raise QueryError("limit must be a positive integer")
+                raise QueryError(f"bad limit `{line[6:]}`")
             limit = int(line[6:])
         elif line != "return symbol":
-            raise QueryError(f"unsupported statement `{line}`")
+            raise QueryError(f"cannot read `{line}`")
     if not start:
-        raise QueryError("a bounded `from` relation is required")
+        raise QueryError("no starting relation")
     if limit is None:
-        raise QueryError("`limit` is required")
+        raise QueryError("no limit")
     return Program(head[1], parameters, start[0], start[1], tuple(where), tuple(steps), limit)
 
 
 def bind(program: Program, values: Mapping[str, str]) -> dict[str, Value]:
     declared = dict(program.parameters)
     if unknown := sorted(set(values) - set(declared)):
-        raise QueryError(f"unknown parameter `{unknown[0]}`")
+        raise QueryError(f"`{unknown[0]}` is no parameter of {program.name}")
     out = {}
     for name, kind in program.parameters:
         if name not in values:
-            raise QueryError(f"missing parameter `{name}`")
+            raise QueryError(f"no value for `{name}`")
         value: str | int = values[name]
         if kind == "integer":
             if not re.fullmatch(r"\+?\d+", str(value)) or int(value) >= 2**32:
-                raise QueryError(f"parameter `{name}` must be an integer")
+                raise QueryError(f"`{name}` takes a whole number")
             value = int(value)
         out[name] = Value(kind, value)
     return out
@@ -167,9 +167,9 @@ def _value(value: Value, bound: Mapping[str, Value], kinds: tuple[str, ...]) ->
         return value
     found = bound.get(str(value.value))
     if found is None:
-        raise QueryError(f"missing parameter `{value.value}`")
+        raise QueryError(f"no value for `{value.value}`")
     if found.type not in kinds:
-        raise QueryError(f"parameter `{value.value}` must be {' or '.join(kinds)}")
+        raise QueryError(f"`{value.value}` is a {found.type}, not a {' or '.join(kinds)}")
     return found
 
 
@@ -179,10 +179,10 @@ def resolve_name(locators: DataFrame, name: str) -> str:
     if len(found) == 1:
         return found[0]
     if found:
-        raise QueryError(f"qualified symbol `{name}` is ambiguous")
+        raise QueryError(f"several symbols are named `{name}`")
     if "." in name:
         return f"jvm:type:{name}"
-    raise QueryError(f"qualified symbol `{name}` did not resolve")
+    raise QueryError(f"no symbol is named `{name}`")
 
 
 @dataclass

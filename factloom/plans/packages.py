@@ -54,9 +54,9 @@ def _known(data: object, where: str) -> dict:
 
 def _names(values: object, label: str) -> tuple[str, ...]:
     if not isinstance(values, list) or not all(isinstance(v, str) and matches(DOTTED, v) for v in values):
-        raise PackageError(f"{label} must be lower-case dotted names")
+        raise PackageError(f"bad name in {label}")
     if len(set(values)) < len(values):
-        raise PackageError(f"{label} declares a name twice")
+        raise PackageError(f"a name comes twice in {label}")
     return tuple(values)
 
 
@@ -64,24 +64,24 @@ def manifest(data: dict, folder: Path | None = None) -> Package:
     """A checked package from its manifest's data."""
     _known(data, "")
     if data.get("format") != MANIFEST_FORMAT:
-        raise PackageError(f"format must be {MANIFEST_FORMAT}")
+        raise PackageError(f"unknown manifest format, this engine reads {MANIFEST_FORMAT}")
     if data.get("requires_core") != CORE:
-        raise PackageError(f"requires_core must be `{CORE}`")
+        raise PackageError(f"made for another engine, this one is {CORE}")
     if not isinstance(data.get("id"), str) or not matches(DOTTED, data["id"]):
-        raise PackageError("id must be a lower-case dotted name")
+        raise PackageError(f"bad package id {data.get('id')!r}")
     if not isinstance(data.get("version"), str) or not matches(SEMVER, data["version"]):
-        raise PackageError("version must be a semantic version such as `1.0.0`")
+        raise PackageError(f"bad package version {data.get('version')!r}")
     exports = _known(data.get("exports", {}), "exports")
     needs = []
     for raw in data.get("capabilities", []):
         raw = _known(raw, "capabilities")
         name, version = raw.get("name"), raw.get("version")
         if not isinstance(name, str) or not matches(CAPABILITY, name):
-            raise PackageError(f"capability `{name}` must be a lower-case dotted name")
+            raise PackageError(f"bad capability name {name!r}")
         if name in {n.name for n in needs}:
-            raise PackageError(f"capability `{name}` is declared twice")
+            raise PackageError(f"capability {name} comes twice")
         if type(version) is not int or version < 1:
-            raise PackageError(f"capability `{name}` version must be positive")
+            raise PackageError(f"capability {name} needs a version from 1 on")
         needs.append(Need(name, version, bool(raw.get("required", False))))
     return Package(data["id"], data["version"], _names(exports.get("macros", []), "exports.macros"), _names(exports.get("commands", []), "exports.commands"), tuple(needs), folder)
 
@@ -94,7 +94,7 @@ class Registry:
 
     def add(self, package: Package) -> None:
         if package.id in self.packages:
-            raise PackageError(f"package `{package.id}` is registered")
+            raise PackageError(f"a second package {package.id}")
         self.packages[package.id] = package
 
     def load(self, root: str, own: str = ".factloom") -> Registry:
@@ -103,13 +103,13 @@ class Registry:
         for folder in sorted(p for p in base.iterdir() if p.is_dir()) if base.is_dir() else []:
             path = folder / "package.toml"
             if not path.is_file():
-                raise PackageError(f"{folder} has no package.toml")
+                raise PackageError(f"no package.toml in {folder}")
             try:
                 package = manifest(tomllib.loads(path.read_text(encoding="utf-8")), folder)
             except tomllib.TOMLDecodeError as e:
                 raise PackageError(f"{path}: {e}") from e
             if folder.name != package.id:
-                raise PackageError(f"{folder} must be named {package.id}")
+                raise PackageError(f"{folder} holds the package {package.id}")
             self.add(package)
         return self
 
@@ -117,7 +117,7 @@ class Registry:
         """(package, export) of a qualified macro or command: the longest package id that exports it."""
         found = [p for p in self.packages.values() if name.startswith(p.id + ".") and name[len(p.id) + 1 :] in getattr(p, kind)]
         if not found:
-            raise PackageError(f"unknown export `{name}`")
+            raise PackageError(f"no package exports {name}")
         best = max(found, key=lambda p: len(p.id))
         return best, name[len(best.id) + 1 :]
 
