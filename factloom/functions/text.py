@@ -26,6 +26,22 @@ def terms(docs: DataFrame, key: str, text: str = "content") -> DataFrame:
     return ended.where(F.col("term").rlike(f"^{TERM}$")).select(key, "term", (F.col("end_byte") - F.octet_length("term")).alias("start_byte"), "end_byte")
 
 
+def term_positions(docs: DataFrame, key: str, text: str = "content") -> DataFrame:
+    """(key, term, start_byte, line, column) of every term, line and column from 1 and the column in characters.
+
+    For all terms at once: running sums over a text's pieces, where position() would look at the text for each.
+    """
+    pieces = docs.repartition(key).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(1))).alias("pos", "term"))
+    order = W.partitionBy(key).orderBy("pos")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(_long(c)).over(before), F.lit(0))
+    breaks = F.char_length("term") - F.char_length(F.translate("term", "\n", ""))
+    placed = pieces.withColumn("start_byte", so_far(F.octet_length("term"))).withColumn("at", so_far(F.char_length("term"))).withColumn("line", so_far(breaks) + 1)
+    begun = F.when(breaks > 0, F.col("at") + F.char_length("term") - F.char_length(F.substring_index("term", "\n", -1)))
+    placed = placed.withColumn("column", F.col("at") - F.coalesce(F.max(begun).over(before), F.lit(0)) + 1)
+    return placed.where(F.col("term").rlike(f"^{TERM}$")).select(key, "term", "start_byte", "line", "column")
+
+
 def _prefix(text: Column, offset: Column) -> Column:
     return F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int"))
 

@@ -359,8 +359,8 @@ _add(
 h AS (SELECT doc_id, off, decode(encode(text)[1:off]) AS head FROM o)
 SELECT doc_id, off, (len(head) - len(replace(head, chr(10), '')) + 1)::BIGINT AS line, (len(string_split(head, chr(10))[-1]) + 1)::BIGINT AS col FROM h""",
 )(
-    lambda f: text.terms(f.raw("documents").select("doc_id", F.col("text").alias("content")), "doc_id").where("start_byte < 2000").join(f.raw("documents").select("doc_id", "text"), "doc_id")
-    .select("doc_id", F.col("start_byte").alias("off"), text.position(F.col("text"), F.col("start_byte")).alias("p")).select("doc_id", "off", F.col("p.line").alias("line"), F.col("p.column").alias("col"))
+    lambda f: text.term_positions(f.raw("documents").select("doc_id", F.col("text").alias("content")), "doc_id").where("start_byte < 2000")
+    .select("doc_id", F.col("start_byte").alias("off"), "line", F.col("column").alias("col"))
 )
 _add(
     "position_to_byte",

@@ -548,3 +548,9 @@ def test_snapshots_are_encoded_and_decoded(spark, tmp_path):
     for name in ("occurrences", "reference_edges"):
         columns = ("source_unit_id", "start_byte", "end_byte", "kind", "target", "provenance.backend")
         assert rows(again[name].select(*columns)) == rows(facts[name].select(*columns))
+
+
+def test_positions_of_all_terms_agree_with_one_by_one(spark):
+    df = spark.createDataFrame([("p", "one 😀 needle\ntwo é\n\n  x y"), ("q", "\n\nz"), ("r", "")], "k string, content string")
+    one = text.terms(df, "k").join(df, "k").select("k", "term", "start_byte", text.position(F.col("content"), F.col("start_byte")).alias("p")).select("k", "term", "start_byte", "p.line", "p.column")
+    assert rows(text.term_positions(df, "k")) == rows(one)
