@@ -29,6 +29,13 @@ def search(term_rows: DataFrame, documents: DataFrame, term: str) -> Answer:
     return by_count(matches(term_rows, documents, term))
 
 
+def changed_texts(indexed: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts that are new or changed, paths whose indexed text no longer counts)."""
+    fresh = current.join(indexed.select("workspace_path", "content_fp"), ["workspace_path", "content_fp"], "left_anti")
+    gone = indexed.join(current.select("workspace_path", "content_fp"), ["workspace_path", "content_fp"], "left_anti")
+    return fresh, gone.select("workspace_path")
+
+
 def synchronised(indexed: DataFrame, term_rows: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, terms) as they should be: vanished texts leave, only new and changed ones are taken apart again."""
     same = current.select("workspace_path", "content_fp")

@@ -66,18 +66,19 @@ KEYS: dict[str, list[str]] = {
     "checkpoints": ["workspace_id"],
 }
 
-#: Column to sort by inside files, so that min/max statistics skip row groups for the usual lookup.
+#: Columns that a stored table is sorted by: files then hold disjoint ranges of the usual lookup's key, and statistics
+#: skip all but a few. The later columns part the rows of a hot key over files.
 LOOKUP: dict[str, list[str]] = {
-    "symbols": ["name"],
-    "occurrences": ["source_unit_id", "start_byte"],
-    "reference_edges": ["target", "source_unit_id"],
-    "call_edges": ["target", "source_unit_id"],
+    "symbols": ["name", "symbol_id"],
+    "occurrences": ["source_unit_id", "start_byte", "end_byte"],
+    "reference_edges": ["target", "source_unit_id", "start_byte"],
+    "call_edges": ["target", "source_unit_id", "start_byte"],
     "hierarchy_edges": ["supertype", "subtype"],
-    "applications": ["target", "subject"],
-    "application_arguments": ["name", "value_text"],
-    "text_terms": ["term", "workspace_path"],
-    "symbol_locators": ["qualified_name"],
-    "source_units": ["workspace_path"],
+    "applications": ["target", "subject", "application_id"],
+    "application_arguments": ["name", "value_text", "application_id"],
+    "text_terms": ["term", "workspace_path", "start_byte"],
+    "symbol_locators": ["qualified_name", "symbol_id"],
+    "source_units": ["workspace_path", "source_unit_id"],
 }
 
 #: Closed value sets.

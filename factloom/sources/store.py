@@ -1,9 +1,12 @@
-"""A store of fact tables: immutable generations of Parquet folders and one pointer to the current one.
+"""A store of fact tables: layers of immutable Parquet folders and one pointer to the current generation.
 
-A change writes only the tables it touches into a new generation, whose manifest names every table's folder, old
-or new; then the pointer moves in one rename. Readers take the pointer once, so they see one generation
-whole, and a failed write leaves the old one. One writer at a time (the driver); all files go through
-Hadoop's file system, so any shared store serves.
+A table is a list of layers. A layer has rows, and keys whose rows in older layers no longer count: so a change
+writes what changed, however large the table. Reading takes the layers' union, each without the keys dropped after
+it; filters still reach every scan. A table of more than MOST_LAYERS layers is written anew as one.
+
+A generation names every table's layers. Changes write new folders and then move the pointer in one rename.
+Readers take the pointer once, so they see one generation whole, and a failed write leaves the old one. One writer
+at a time (the driver); all files go through Hadoop's file system, so any shared store serves.
 """
 
 from __future__ import annotations
@@ -13,9 +16,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.schema import DDL, FORMAT_VERSION, KEYS, LOOKUP, FactError, assert_unique, conform, struct
 
+#: Layers that a table may have before it is written anew.
+MOST_LAYERS = 8
+#: Columns by which a layer drops rows of older ones, where they are not the table's key.
+OWNER = {
+    **dict.fromkeys(("symbols", "occurrences", "reference_edges", "call_edges", "hierarchy_edges", "applications", "types", "diagnostics", "symbol_locators"), ["source_unit_id"]),
+    "application_arguments": ["application_id"],
+    "text_terms": ["workspace_path"],
+}
 #: Tables whose rows belong to a source unit and leave with it.
 OWNED = ("symbols", "occurrences", "reference_edges", "call_edges", "hierarchy_edges", "applications", "types", "diagnostics")
 
@@ -50,21 +62,39 @@ class Store:
         return self
 
     def table(self, name: str) -> DataFrame:
-        where = self.generation["tables"].get(name)
-        reader = self.spark.read.schema(struct(name))
-        return reader.parquet(where) if where else self.spark.createDataFrame([], struct(name))
-
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write tables as a new generation and make it current; gives its number."""
+        out, dropped = None, None
+        for layer in reversed(self.generation["tables"].get(name, [])):
+            if layer["rows"]:
+                rows = self.spark.read.schema(struct(name)).parquet(layer["rows"])
+                rows = rows if dropped is None else rows.join(dropped, OWNER.get(name, KEYS[name]), "left_anti").select(*struct(name).names)
+                out = rows if out is None else out.unionByName(rows)
+            if layer["drop"]:
+                keys = T.StructType([struct(name)[k] for k in OWNER.get(name, KEYS[name])])
+                drop = self.spark.read.schema(keys).parquet(layer["drop"])
+                dropped = drop if dropped is None else dropped.unionByName(drop)
+        return self.spark.createDataFrame([], struct(name)) if out is None else out
+
+    def commit(self, tables: dict[str, DataFrame] | None = None, changes: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None) -> int:
+        """Make a new generation current and give its number: tables whole, changes as (new rows, dropped keys)."""
         number = self.generation["number"] + 1
         folder = f"{self.root}/g{number:08d}-{uuid.uuid4().hex[:8]}"
         named = dict(self.generation["tables"])
-        for name, rows in tables.items():
-            out = conform(rows, name)
-            if name in LOOKUP:
-                out = out.sortWithinPartitions(*LOOKUP[name])
-            out.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-            named[name] = f"{folder}/{name}"
+        for name, rows in (tables or {}).items():
+            named[name] = [{"rows": self._write(name, rows, f"{folder}/{name}"), "drop": None}]
+        for name, (rows, drop) in (changes or {}).items():
+            layer = {"rows": None if rows is None else self._write(name, rows, f"{folder}/{name}"), "drop": None}
+            if drop is not None and named.get(name):
+                layer["drop"] = f"{folder}/{name}-drop"
+                drop.select(*OWNER.get(name, KEYS[name])).distinct().write.parquet(layer["drop"])
+            if layer["rows"] or layer["drop"]:
+                named[name] = [*named.get(name, []), layer]
+        before, self.generation = self.generation, self.generation | {"tables": named}
+        try:
+            for name, layers in named.items():
+                if len(layers) > MOST_LAYERS:
+                    named[name] = [{"rows": self._write(name, self.table(name), f"{folder}/{name}-whole"), "drop": None}]
+        finally:
+            self.generation = before
         new = {"format": FORMAT_VERSION, "number": number, "tables": named}
         temporary = self._path(f"{self.root}/.next-{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, True)
@@ -80,56 +110,54 @@ class Store:
         self.generation = new
         return number
 
+    @staticmethod
+    def _write(name: str, rows: DataFrame, path: str) -> str:
+        out = conform(rows, name)
+        out = out.sort(*LOOKUP[name]) if name in LOOKUP else out
+        out.write.option("compression", "zstd").parquet(path)
+        return path
+
     # --- snapshots -----------------------------------------------------------------------------
 
+    def _leaving(self, ids: DataFrame) -> DataFrame:
+        """Applications of units, whose arguments leave with them."""
+        return self.table("applications").join(ids, "source_unit_id", "left_semi").select("application_id")
+
     def replace_snapshots(self, expected: DataFrame, units: DataFrame, facts: dict[str, DataFrame]) -> int:
-        """Replace all facts of units by facts, all or nothing; expected says which contents may come."""
+        """Replace all facts of units by facts, all or nothing; expected says which contents may come.
+
+        Written is what comes and the units' ids, not the tables.
+        """
         from factloom.operators.validate import require_valid
 
         require_valid(expected, units, facts)
         ids = units.select("source_unit_id")
-        new = {"source_units": self._without("source_units", ids).unionByName(conform(units, "source_units"))}
-        for name in OWNED:
-            if name in facts:
-                new[name] = self._without(name, ids).unionByName(conform(facts[name], name))
-            elif name in self.generation["tables"]:
-                new[name] = self._without(name, ids)
-        if "application_arguments" in facts:
-            gone = self.table("applications").join(ids, "source_unit_id", "left_semi").select("application_id")
-            new["application_arguments"] = self.table("application_arguments").join(gone, "application_id", "left_anti").unionByName(conform(facts["application_arguments"], "application_arguments"))
-        for name in ("symbols", "source_units"):
-            if name in new:
-                assert_unique(new[name], KEYS[name], name)
-        return self.commit(new)
-
-    def _without(self, name: str, ids: DataFrame) -> DataFrame:
-        return self.table(name).join(ids, "source_unit_id", "left_anti").select(*(f.name for f in struct(name).fields))
+        if "symbols" in facts:  # an id is one unit's in the whole store
+            held = self.table("symbols").join(ids, "source_unit_id", "left_anti").select("symbol_id")
+            if clash := held.join(facts["symbols"].select("symbol_id"), "symbol_id", "left_semi").limit(1).collect():
+                raise FactError(f"symbols: {clash[0].symbol_id} belongs to another unit")
+        changes = {"source_units": (units, ids)} | {name: (facts.get(name), ids) for name in OWNED}
+        changes["application_arguments"] = (facts.get("application_arguments"), self._leaving(ids))
+        return self.commit(changes=changes)
 
     def remove_units(self, ids: DataFrame) -> int:
-        gone = self.table("applications").join(ids, "source_unit_id", "left_semi").select("application_id")
-        new = {name: self._without(name, ids) for name in ("source_units", *OWNED) if name in self.generation["tables"]}
-        if "application_arguments" in self.generation["tables"]:
-            new["application_arguments"] = self.table("application_arguments").join(gone, "application_id", "left_anti")
-        return self.commit(new)
+        changes = {name: (None, ids) for name in ("source_units", *OWNED)}
+        return self.commit(changes=changes | {"application_arguments": (None, self._leaving(ids))})
 
     # --- upserts and replacements ------------------------------------------------------------------
 
-    def upserted(self, name: str, rows: DataFrame) -> DataFrame:
-        keys = KEYS[name]
-        assert_unique(rows, keys, name)
-        return self.table(name).join(rows.select(*keys), keys, "left_anti").select(*(f.name for f in struct(name).fields)).unionByName(conform(rows, name))
-
     def upsert(self, name: str, rows: DataFrame) -> int:
-        return self.commit({name: self.upserted(name, rows)})
+        assert_unique(conform(rows, name), KEYS[name], name)
+        return self.commit(changes={name: (rows, rows)})
 
     def replace(self, name: str, rows: DataFrame) -> int:
-        assert_unique(rows, KEYS[name], name)
+        assert_unique(conform(rows, name), KEYS[name], name)
         return self.commit({name: rows})
 
     def put_artifacts(self, artifacts: DataFrame, locators: DataFrame) -> int:
         """Upsert descriptors; a descriptor's locators are replaced by the given ones."""
-        old = self.table("symbol_locators").join(artifacts.select("source_unit_id"), "source_unit_id", "left_anti")
-        return self.commit({"artifacts": self.upserted("artifacts", artifacts), "symbol_locators": old.select("source_unit_id", "qualified_name", "symbol_id").unionByName(conform(locators, "symbol_locators"))})
+        assert_unique(conform(artifacts, "artifacts"), KEYS["artifacts"], "artifacts")
+        return self.commit(changes={"artifacts": (artifacts, artifacts), "symbol_locators": (locators, artifacts)})
 
     def replace_catalog(self, artifacts: DataFrame, locators: DataFrame) -> int:
         """The whole catalog; blob references of units that left it go too."""
@@ -147,21 +175,24 @@ class Store:
         made = F.lit(known[0].created_at).cast("timestamp") if known else now
         row = one.select(F.lit(blob_key).alias("blob_key"), F.lit(identity).alias("identity"), F.lit(byte_length).cast("long").alias("byte_length"), made.alias("created_at"), now.alias("accessed_at"))
         ref = one.select(F.lit(unit).alias("source_unit_id"), F.lit(blob_key).alias("blob_key"))
-        return self.commit({"blob_catalog": self.upserted("blob_catalog", row), "blob_refs": self.upserted("blob_refs", ref)})
+        return self.commit(changes={"blob_catalog": (row, row), "blob_refs": (ref, ref)})
 
     def reconcile_refs(self, readable: DataFrame) -> int:
         """Drop references whose blob has no readable file; gives how many."""
         refs = self.table("blob_refs")
-        gone = refs.join(readable.select("blob_key").distinct(), "blob_key", "left_anti").count()
+        lost = refs.join(readable.select("blob_key").distinct(), "blob_key", "left_anti").select("source_unit_id")
+        gone = lost.count()
         if gone:
-            self.commit({"blob_refs": refs.join(readable.select("blob_key"), "blob_key", "left_semi").select("source_unit_id", "blob_key")})
+            self.commit(changes={"blob_refs": (None, lost)})
         return gone
 
     def sync_texts(self, current: DataFrame) -> int:
-        from factloom.operators.lexical import synchronised
+        """Bring texts and terms to current: written are new and changed texts, their terms, and the paths that left."""
+        from factloom.operators.lexical import changed_texts
+        from factloom.functions.text import terms
 
-        documents, terms = synchronised(self.table("text_documents"), self.table("text_terms"), current)
-        return self.commit({"text_documents": documents, "text_terms": terms})
+        fresh, gone = changed_texts(self.table("text_documents"), current)
+        return self.commit(changes={"text_documents": (fresh, gone), "text_terms": (terms(fresh, "workspace_path"), gone)})
 
     # --- scans -----------------------------------------------------------------------------------
 

@@ -554,3 +554,15 @@ def test_positions_of_all_terms_agree_with_one_by_one(spark):
     df = spark.createDataFrame([("p", "one 😀 needle\ntwo é\n\n  x y"), ("q", "\n\nz"), ("r", "")], "k string, content string")
     one = text.terms(df, "k").join(df, "k").select("k", "term", "start_byte", text.position(F.col("content"), F.col("start_byte")).alias("p")).select("k", "term", "start_byte", "p.line", "p.column")
     assert rows(text.term_positions(df, "k")) == rows(one)
+
+
+def test_layers_are_written_anew_in_time(spark, tmp_path):
+    from factloom.sources import store as stores
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    for i in range(stores.MOST_LAYERS + 3):
+        one = unit(spark, (f"u{i % 4}", f"f{i}", None))
+        store.replace_snapshots(one, one, {"symbols": symbol(spark, (f"s{i}", f"u{i % 4}", "class", f"N{i}", None, []))})
+        assert len(store.generation["tables"]["symbols"]) <= stores.MOST_LAYERS
+        assert rows(store.table("symbols").select("source_unit_id", "name")) == sorted((f"u{k % 4}", f"N{k}") for k in range(max(0, i - 3), i + 1))
+    assert rows(Store(spark, f"file://{tmp_path}/s").source_units().select("source_unit_id", "content_fp")) == sorted((f"u{k % 4}", f"f{k}") for k in range(i - 3, i + 1))
