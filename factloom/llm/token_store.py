@@ -20,6 +20,7 @@ by row); a null doc_id sorts first; an empty table makes an empty store; other c
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -73,6 +74,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int, width: int, by_word: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -113,12 +115,12 @@ class Encoder:
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words back to back, and how many each has."""
-        text = b" ".join(words).decode("latin-1")
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        lines = [b" ".join(words[at : at + 250]).decode("latin-1") for at in range(0, len(words), 250)]
+        ids = np.concatenate(self._whole(lines))
         stops = np.flatnonzero(self.ends_word[ids]) + 1
         if len(stops) == len(words):
             return ids, np.diff(stops, prepend=0)
-        each = self._whole(text.split(" "))  # not of this family after all
+        each = self._whole([w.decode("latin-1") for w in words])  # not of this family after all
         return np.concatenate(each), np.array([len(x) for x in each])
 
     def _learn(self) -> None:
