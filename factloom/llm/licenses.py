@@ -72,9 +72,8 @@ NOTICES: dict[str, tuple[str, ...]] = {
 }
 #: Words of which a notice has at least one; a paragraph without them is no licence.
 ANCHORS = (
-    "apache", "attribution", "bsd", "cc", "cc0", "commons", "confidential", "copying", "copyright", "creative", "distributed", "gnu", "gpl",
-    "granted", "licence", "license", "licensed", "licenses", "mit", "mozilla", "mpl", "permission", "permitted", "proprietary", "redistribute",
-    "redistribution", "reserved", "unauthorized", "unencumbered", "waived",
+    "apache", "copyright", "gnu", "gpl", "licence", "license", "licensed", "licenses", "mozilla", "permission", "permitted", "proprietary",
+    "redistribute", "redistribution", "reserved", "unauthorized", "unencumbered", "waived",
 )
 BUCKETS = 1024
 #: Documents that the class `none` is sampled from, and paragraphs taken.
