@@ -4,7 +4,8 @@ Training paragraphs are cut from the families' notices below (windows of several
 notices are known too); paragraphs of the corpus that are unlike every notice are the class `none`. A multinomial
 logistic regression with an L1 penalty over hashed words and word pairs is fitted by Spark's own JVM
 implementation; its weights become one constant array that scores paragraphs inside the scan, without a
-shuffle. A paragraph that is likelier a licence than not, but whose best family is under a floor calibrated
+shuffle. Every paragraph is scored: first by a bound that its weights give on the probability of any licence, then,
+unless the bound proves that `none` is likelier, in full. A paragraph that is likelier a licence than not, but whose best family is under a floor calibrated
 on held-out windows, or which shares too little with every notice of that family, is `unknown`.
 
 Cases: null and empty texts have no paragraph; a paragraph is a line with a word; letter case does not
@@ -15,6 +16,7 @@ an empty table gives an empty result (the class `none` then has one placeholder
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -70,11 +72,6 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
-#: Words of which a notice has at least one; a paragraph without them is no licence.
-ANCHORS = (
-    "apache", "copyright", "gnu", "gpl", "licence", "license", "licensed", "licenses", "mozilla", "permission", "permitted", "proprietary",
-    "redistribute", "redistribution", "reserved", "unauthorized", "unencumbered", "waived",
-)
 BUCKETS = 1024
 #: Documents that the class `none` is sampled from, and paragraphs taken.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 2000, 2000
@@ -88,8 +85,13 @@ def words(line: Column) -> Column:
 
 def grams(w: Column) -> Column:
     """Distinct words and pairs of neighbouring words of w."""
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
-    return F.array_distinct(F.concat(w, F.coalesce(pairs, F.array().cast("array<string>"))))
+
+    def both(w: Column) -> Column:
+        pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
+        return F.array_distinct(F.concat(w, F.coalesce(pairs, F.array().cast("array<string>"))))
+
+    # Taken once: w is often a pattern's matches, and the pairs ask for each of its words.
+    return let(w, both)
 
 
 def buckets(g: Column) -> Column:
@@ -133,9 +135,24 @@ class Scanner:
     def __init__(self, families: list[str], weights: list[list[float]], bias: list[float], floor: float):
         self.families, self.weights, self.bias, self.floor = families, weights, bias, floor
 
-    def _probabilities(self, g: Column) -> Column:
+    def _bounds(self) -> tuple[float, list[float]]:
+        """(start, a step a bucket): where start and the steps of a paragraph's buckets do not pass 0, `none` has half or more.
+
+        A family's odds against `none` are exp(bias + its weights over those of `none`); every weight is at most the bucket's largest.
+        """
+        start = math.log(sum(math.exp(b - self.bias[0]) for b in self.bias[1:]))
+        return start, [max(w[1:]) - w[0] for w in self.weights]
+
+    def possible(self, b: Column) -> Column:
+        """Whether a paragraph with these buckets can be a licence; false only if it provably cannot."""
+        start, steps = self._bounds()
+        table = _constant(steps, "array<double>")
+        # The sums of both ways round differently, by far less than this.
+        return F.aggregate(b, F.lit(start), lambda acc, i: acc + F.get(table, i)) > -1e-6
+
+    def _probabilities(self, b: Column) -> Column:
         table = _constant(self.weights, "array<array<double>>")
-        raw = F.aggregate(buckets(g), _constant(self.bias, "array<double>"), lambda acc, i: F.zip_with(acc, F.get(table, i), lambda a, b: a + b))
+        raw = F.aggregate(b, _constant(self.bias, "array<double>"), lambda acc, i: F.zip_with(acc, F.get(table, i), lambda a, b: a + b))
         grown = let(raw, lambda r: F.transform(r, lambda x: F.exp(x - F.array_max(r))))
         return let(grown, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
@@ -144,7 +161,7 @@ class Scanner:
         known = _known()
         names = F.array(*(F.lit(f) for f in self.families))
 
-        def judge(g: Column) -> Column:
+        def judge(g: Column, b: Column) -> Column:
             def of(p: Column) -> Column:
                 best = F.array_max(F.slice(p, 2, len(self.families)))
                 family = F.get(names, (F.array_position(F.slice(p, 2, len(self.families)), best) - 1).cast("int"))
@@ -152,21 +169,16 @@ class Scanner:
                 sure = (best / F.greatest(1 - F.get(p, F.lit(0)), F.lit(1e-12)) >= self.floor) & close
                 return F.struct(F.when(F.get(p, F.lit(0)) < 0.5, F.when(sure, family).otherwise("unknown")).alias("family"), best.alias("p"))
 
-            return let(self._probabilities(g), of)
+            # Without a word there are no buckets, and no paragraph.
+            return F.when((F.size(b) > 0) & self.possible(b), let(self._probabilities(b), of))
 
-        return let(grams(words(line)), judge)
+        return let(grams(words(line)), lambda g: let(buckets(g), lambda b: judge(g, b)))
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """docs with licences: array of struct(line number from 0, family, p), for the lines that are licences."""
-        anchors = F.array(*(F.lit(a) for a in ANCHORS))
-        text = F.coalesce(F.col("text"), F.lit(""))
-        # A line without a notice word is none by construction, so whole texts without one are done here.
-        candidate = F.arrays_overlap(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")), anchors)
-        numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-        likely = F.filter(numbered, lambda x: F.arrays_overlap(F.split(F.lower(x["text"]), "[^a-z0-9]+"), anchors))
-        judged = F.transform(likely, lambda x: F.struct(x["line"].alias("line"), self.paragraph(x["text"]).alias("j")))
-        kept = F.transform(F.filter(judged, lambda x: x["j"]["family"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["j"]["family"].alias("family"), x["j"]["p"].alias("p")))
-        return docs.withColumn("licences", F.when(candidate, kept).otherwise(F.array().cast("array<struct<line:int,family:string,p:double>>")))
+        lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+        judged = F.transform(lines, lambda x, i: F.struct(i.alias("line"), self.paragraph(x).alias("j")))
+        return docs.withColumn("licences", F.transform(F.filter(judged, lambda x: x["j"]["family"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["j"]["family"].alias("family"), x["j"]["p"].alias("p"))))
 
 
 def _grams(line: str) -> list[str]:
@@ -179,7 +191,7 @@ def _grams(line: str) -> list[str]:
 def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     """Train on the notices' windows and a bounded sample of paragraphs (SAMPLE_DOCS, SAMPLE_PARAGRAPHS).
 
-    Sampled paragraphs that share little with every notice are the class `none`, also those with a notice word.
+    Sampled paragraphs that share little with every notice are the class `none`.
     The floor is the `error` quantile of the true family's probability on windows that were held out of training.
     """
     spark = docs.sparkSession
@@ -189,9 +201,8 @@ def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     lines = few.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).orderBy(F.xxhash64("doc_id", "i", "line")).limit(SAMPLE_PARAGRAPHS)
     sample = staged(lines.select(words(F.col("line")).alias("w")).where(F.size("w") > 0), "paragraphs")
     notices = _notices(spark)
-    anchors = F.array(*(F.lit(a) for a in ANCHORS))
-    plain = sample.where(~F.exists(_known(), lambda n: _share(grams(F.col("w")), n["grams"]) >= UNLIKE))
-    positive = _windows(notices).where(F.arrays_overlap("w", anchors))
+    plain = sample.where(let(grams(F.col("w")), lambda g: ~F.exists(_known(), lambda n: _share(g, n["grams"]) >= UNLIKE)))
+    positive = _windows(notices)
     families = list(NOTICES)
     names = F.array(*(F.lit(f) for f in families))
     negative = plain.select(F.lit(0.0).alias("label"), "w").union(spark.range(1).select(F.lit(0.0), F.array(F.lit("nothing"))))
@@ -202,7 +213,7 @@ def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     model = LogisticRegression(family="multinomial", maxIter=50, regParam=5e-5, elasticNetParam=1.0, standardization=False).fit(data.where(~F.col("held")))
     matrix = model.coefficientMatrix.toArray().T.round(6).tolist()
     found = Scanner(families, matrix, model.interceptVector.toArray().tolist(), 0.0)
-    p = found._probabilities(grams(F.col("w")))
+    p = found._probabilities(buckets(grams(F.col("w"))))
     truth = F.get(p, F.col("label").cast("int")) / F.greatest(1 - F.get(p, F.lit(0)), F.lit(1e-12))
     floor = data.where("held").agg(F.percentile_approx(truth, error).alias("q")).first().q
     found.floor = min(0.5, floor) if floor is not None else 0.5

@@ -240,6 +240,20 @@ def test_licenses(spark):
     assert licenses.op4_licenses(odd(spark)).count() == odd(spark).count() and licenses.op4_licenses(odd(spark).limit(0)).count() == 0
 
 
+def test_licenses_judge_every_paragraph(spark):
+    """No word list stands before the classifier, and its bound leaves out only what the full score leaves out."""
+    rng = random.Random(9)
+    lines = ["Creative Commons Attribution-ShareAlike 4.0 International", "Available under CC BY-SA 4.0", "CC0 1.0 Universal", "Released into the public domain"]
+    texts = [*lines, *(prose(rng, 60) for _ in range(200))]
+    scanner = licenses.fit(docs(spark, texts))
+    found = {r.doc_id: [x.family for x in r.licences] for r in scanner.scan(docs(spark, texts)).collect()}
+    assert [found[i] for i in range(4)] == [["cc-by-sa"], ["cc-by-sa"], ["public-domain"], ["public-domain"]]
+    mixed = [" ".join(rng.sample([w for n in licenses.NOTICES.values() for x in n for w in x.split()] + [f"w{k}" for k in range(200)], 8)) for _ in range(300)]
+    b = licenses.buckets(licenses.grams(licenses.words(F.col("text"))))
+    rows = docs(spark, texts + mixed).select(scanner.possible(b).alias("u"), F.get(scanner._probabilities(b), F.lit(0)).alias("none")).collect()
+    assert all(r.u for r in rows if r.none < 0.5) and any(r.none < 0.5 for r in rows) and not all(r.u for r in rows)
+
+
 # --- languages ------------------------------------------------------------------------------------------------
 
 
