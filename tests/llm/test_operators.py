@@ -316,6 +316,24 @@ def test_wrapper_inference():
     assert fold("<ul>" + "<li>a</li><li>b</li>" * 50 + "</ul>") == [["ul/li", ""]]
 
 
+def test_wrappers_see_all_pages_places_and_whole_texts(spark):
+    long = "a title of more than two hundred characters " * 6
+    filler = "".join(f"<div class=c{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}>x{{i}} {k}</div>" for k in range(450))
+    page = lambda i: filler.replace("{i}", str(i)) + f"<div class=lead>{long}{i}</div><div class=site>our site</div>"
+    rare = lambda i: f"<div class=other>words {i}</div><div class=slogan>good day</div>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(12)] + [(i, f"https://h.example/{i}", rare(i)) for i in range(12, 16)]
+    rows += [(i, "https://copies.example/", "<div>all the same</div>") for i in range(16, 20)] + [(20 + i, "https://two.example/", f"<p>one {i}</p><div class=x>same</div>") for i in range(2)]
+    found = {r.page_id: r.text for r in html_extract.op6_html(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(12):
+        blocks = found[i].split("\n\n")
+        assert len(blocks) == 451 and blocks[-1] == f"{long}{i}"
+    assert all(found[i] == f"words {i}" for i in range(12, 16)) and all(found[i] == "all the same" for i in range(16, 20))
+    assert found[20] == "one 0" and found[21] == "one 1"
+    aligned = html_extract.decide(html_extract.infer([html_extract.folded(r[2]) for r in rows[:3]]))
+    told = {r.host: json.loads(r.places) for r in html_extract.wrappers(spark.createDataFrame(rows[:3], "page_id long, url string, html string")).collect()}
+    assert set(told["h.example"]) == {p for p, main in aligned.items() if not main} == {"div.site"}
+
+
 def test_wrappers_by_shuffle_give_the_same(spark, monkeypatch):
     rows = [(i, f"https://h{i % 2}.example/{i}", PAGE.format(h=f"Head {i}", a="a", b="b")) for i in range(6)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
