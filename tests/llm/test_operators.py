@@ -316,6 +316,13 @@ def test_wrapper_inference():
     assert fold("<ul>" + "<li>a</li><li>b</li>" * 50 + "</ul>") == [["ul/li", ""]]
 
 
+def test_article_is_asked_of_each_page(spark):
+    """A host with an article template and one without: neither loses text."""
+    rows = [(i, f"https://h.example/{i}", f"<div class=content><p>body {i}</p><p>more {i}</p></div>" if i % 2 else f"<article><p>story {i}</p></article><div class=content><p>rest {i}</p></div>") for i in range(40)]
+    found = {r.page_id: r.text for r in html_extract.op6_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == (f"body {i}\n\nmore {i}" if i % 2 else f"story {i}") for i in range(40))
+
+
 def test_wrappers_see_all_pages_places_and_whole_texts(spark):
     long = "a title of more than two hundred characters " * 6
     filler = "".join(f"<div class=c{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}>x{{i}} {k}</div>" for k in range(450))
