@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,30 @@ def test_languages_odd(spark):
     assert kept.columns == odd(spark).columns and kept.where("lang_pred <> 'own'").count() == 0 and langid.keep_languages(odd(spark).limit(0)).count() == 0
 
 
+# --- benchmark items without an id -------------------------------------------------------------------------------
+
+
+def test_items_without_an_id_hit(spark):
+    import duckdb
+
+    from factloom.llm.queries import OP9_SQL
+
+    rng = random.Random(4)
+    items = [(1, prose(rng, 30)), (None, prose(rng, 30)), (None, "only three words"), (2, None)]
+    texts = [f"a b {items[0][1]}", f"c {items[1][1]} d", "x only three words y", f"{items[0][1]} {items[1][1]}", "clean text"]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    documents, d = docs(spark, texts).toPandas(), docs(spark, texts)  # noqa: F841
+    with duckdb.connect() as duck:
+        duck.register("documents", documents)
+        duck.register("benchmark", pa.table({"item_id": pa.array([x for x, _ in items], pa.int64()), "text": [x for _, x in items]}))
+        wanted = sorted(duck.sql(OP9_SQL).fetchall())
+    found = sorted(tuple(r) for r in decontaminate.op9_decontamination(d, benchmark).collect())
+    assert found == wanted and [r[-1] for r in found] == [True, True, True, True, False]
+    several = decontaminate.find_benchmark(d, benchmark, words_per_automaton=20).select(decontaminate.hit_words().alias("n")).collect()
+    assert sorted(r.n for r in several) == sorted(r[2] for r in wanted)
+    assert [r.doc_id for r in decontaminate.remove_benchmark(d, benchmark).collect()] == [4]
+
+
 # --- pages ---------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
