@@ -8,6 +8,10 @@ documents it rejects, at level error / (rules x strata), until one stands. The l
 the first stands, the rule is off there. So with probability 1 - error no stratum loses more than `risk` of its
 good documents (fixed-sequence testing on each ladder, Bonferroni over ladders, union bound over rules).
 
+Even with no good document rejected, a cutoff passes only if (1 - risk / rules) ** n <= error / (rules x strata): with the
+defaults (0.995 ** n <= 0.05 / 16) a stratum needs n >= 1151 good labelled documents. Below that all its rules are
+off and `kept` is just not base_failed there, so `kept` depends on how many labels there are.
+
 Cases: a null or empty text has no words and fails the base rule; labels without a document, null labels
 and repeated label rows of one document count as they stand in the join; with no good labelled document
 in a stratum all its rules are off; repeated rows are judged alike; extra columns are ignored.
