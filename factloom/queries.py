@@ -562,7 +562,44 @@ _add("declared_types", "SELECT s_suppkey, 'a.b' AS package, 'T' || s_suppkey AS
 _add(
     "multi_file_digest",
     "SELECT component_id, 'sha256:' || sha256(unhex(string_agg(hex(workspace_path) || '00' || lpad(to_hex(strlen(left(text, 50))), 16, '0') || hex(left(text, 50)), '' ORDER BY workspace_path))) AS d FROM f_units GROUP BY component_id",
-)(lambda f: f["source_units"].join(f["text_documents"].select("workspace_path", "content"), "workspace_path").groupBy("component_id").agg(digest.files(F.col("workspace_path"), F.substring("content", 1, 50)).alias("d")))
+)(lambda f: f["source_units"].join(f["text_documents"].select("workspace_path", "content"), "workspace_path").groupBy("component_id").agg(digest.files(F.col("workspace_path"), F.substring("content", 1, 50)).a# --- the same over all rows ----------------------------------------------------------------------------------
+
+_add("fan_out_all", "SELECT 'part:' || p_partkey AS target, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'ok' ELSE 'no_result' END AS status FROM part LEFT JOIN (SELECT target, count(*) AS n FROM f_refs GROUP BY target) ON target = 'part:' || p_partkey")(
+    lambda f: summaries.fanned_out(f.raw("part").select(F.concat(F.lit("part:"), "p_partkey").alias("target")), f["reference_edges"])
+)
+_ALL_POINTS = "SELECT 'p' || c_custkey AS cursor, 'unit:customer:' || c_nationkey AS unit, c_custkey * 100 + 150 AS byte FROM customer"
+_add(
+    "narrowest_decl_all",
+    f"""WITH p AS ({_ALL_POINTS}), c AS (SELECT cursor, symbol_id, kind, decl_end - decl_start AS width, rank() OVER (PARTITION BY cursor ORDER BY decl_end - decl_start) AS r FROM p JOIN f_symbols ON unit = source_unit_id AND decl_start <= byte AND decl_end > byte)
+SELECT DISTINCT cursor, symbol_id, kind, width FROM c WHERE r = 1""",
+)(
+    lambda f: ranges.narrowest_declarations(
+        f.raw("customer").select(F.concat(F.lit("p"), "c_custkey").alias("cursor"), F.concat(F.lit("unit:customer:"), "c_nationkey").alias("source_unit_id"), (F.col("c_custkey") * 100 + 150).alias("byte")), f["symbols"]
+    )
+)
+
+
+def _all_declarations(f: Facts) -> DataFrame:
+    return f["symbols"].select(F.col("symbol_id").alias("id"), "source_unit_id", F.col("decl_start").alias("start_byte"), F.col("decl_end").alias("end_byte"))
+
+
+_add(
+    "enclosing_argmin_all",
+    """SELECT i.symbol_id AS id, min_by(o.symbol_id, (o.decl_end - o.decl_start, o.symbol_id)) AS enclosing FROM f_symbols i JOIN f_symbols o ON i.source_unit_id = o.source_unit_id
+AND o.decl_start <= i.decl_start AND i.decl_end <= o.decl_end AND NOT (o.decl_start = i.decl_start AND o.decl_end = i.decl_end) GROUP BY i.symbol_id""",
+)(lambda f: ranges.nearest_enclosing(_all_declarations(f), _all_declarations(f)))
+_add(
+    "widest_context_all",
+    """SELECT i.symbol_id AS id, max(row(o.decl_end - o.decl_start, o.decl_start))[2] AS start_byte, max(row(o.decl_end - o.decl_start, o.decl_start))[2] + max(row(o.decl_end - o.decl_start, o.decl_start))[1] AS end_byte
+FROM f_symbols i JOIN f_symbols o ON i.source_unit_id = o.source_unit_id AND o.decl_start <= i.name_start AND i.name_end <= o.decl_end GROUP BY i.symbol_id""",
+)(
+    lambda f: ranges.widest_context(
+        f["symbols"].select(F.col("symbol_id").alias("id"), "source_unit_id", F.col("name_start").alias("start_byte"), F.col("name_end").alias("end_byte")),
+        f["symbols"].select("source_unit_id", F.col("decl_start").alias("start_byte"), F.col("decl_end").alias("end_byte")),
+    )
+)
+
+lias("d")))
 
 # --- sinks, read back ------------------------------------------------------------------------------------------------------
 
