@@ -544,7 +544,7 @@ _add("generic_context", "SELECT doc_id, 'List<' || lang || '>' AS context FROM d
     lambda f: f.raw("documents").select("doc_id", F.concat(F.lit("val x: List<"), "lang", F.lit("> = y")).alias("t"), F.octet_length("lang").alias("n")).select("doc_id", text.generic_context(F.col("t"), F.lit(12), F.lit(12) + F.col("n")).alias("context"))
 )
 _add("utf16_offsets", "SELECT doc_id, strlen(left(text, 40))::BIGINT AS byte FROM documents WHERE length(text) > 50")(
-    lambda f: f.raw("documents").where(F.char_length("text") > 50).select("doc_id", text.utf16_to_utf8(F.substring("text", 1, 50), F.lit(40)).alias("byte"))
+    lambda f: f.raw("documents").where(F.char_length("text") > 50).select("doc_id", text.utf16_to_utf8(F.col("text"), F.lit(40)).alias("byte"))
 )
 _add("named_strings", "SELECT p_partkey, p_brand || ',' || p_type AS found FROM part")(
     lambda f: f.raw("part").select("p_partkey", F.array_join(values.named_strings(F.concat(F.lit('@X(name = ["'), "p_brand", F.lit('", "'), "p_type", F.lit('"], y = "z")')), "name"), ",").alias("found"))
@@ -562,7 +562,9 @@ _add("declared_types", "SELECT s_suppkey, 'a.b' AS package, 'T' || s_suppkey AS
 _add(
     "multi_file_digest",
     "SELECT component_id, 'sha256:' || sha256(unhex(string_agg(hex(workspace_path) || '00' || lpad(to_hex(strlen(left(text, 50))), 16, '0') || hex(left(text, 50)), '' ORDER BY workspace_path))) AS d FROM f_units GROUP BY component_id",
-)(lambda f: f["source_units"].join(f["text_documents"].select("workspace_path", "content"), "workspace_path").groupBy("component_id").agg(digest.files(F.col("workspace_path"), F.substring("content", 1, 50)).a# --- the same over all rows ----------------------------------------------------------------------------------
+)(lambda f: f["source_units"].join(f["text_documents"].select("workspace_path", "content"), "workspace_path").groupBy("component_id").agg(digest.files(F.col("workspace_path"), F.substring("content", 1, 50)).alias("d")))
+
+# --- the same over all rows ----------------------------------------------------------------------------------
 
 _add("fan_out_all", "SELECT 'part:' || p_partkey AS target, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'ok' ELSE 'no_result' END AS status FROM part LEFT JOIN (SELECT target, count(*) AS n FROM f_refs GROUP BY target) ON target = 'part:' || p_partkey")(
     lambda f: summaries.fanned_out(f.raw("part").select(F.concat(F.lit("part:"), "p_partkey").alias("target")), f["reference_edges"])
@@ -599,7 +601,20 @@ FROM f_symbols i JOIN f_symbols o ON i.source_unit_id = o.source_unit_id AND o.d
     )
 )
 
-lias("d")))
+# --- the same over whole texts ---------------------------------------------------------------------------------
+
+_add("byte_to_position_all", None)(
+    lambda f: text.term_positions(f.raw("documents").select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id", F.col("start_byte").alias("off"), "line", F.col("column").alias("col"))
+)
+_add("snippet_all", None)(
+    lambda f: text.terms(f.raw("documents").select("doc_id", F.col("text").alias("content")), "doc_id").join(f.raw("documents").select("doc_id", "text"), "doc_id")
+    .select("doc_id", "start_byte", "end_byte", text.snippet(F.col("text"), F.col("start_byte"), F.col("end_byte")).alias("line"))
+)
+_add("range_text_all", None)(lambda f: f.raw("documents").select("doc_id", text.range_text(F.col("text"), F.lit(0), F.octet_length("text")).alias("t")))
+_add(
+    "multi_file_digest_all",
+    "SELECT component_id, 'sha256:' || sha256(unhex(string_agg(hex(workspace_path) || '00' || lpad(to_hex(strlen(text)), 16, '0') || hex(text), '' ORDER BY workspace_path))) AS d FROM f_units GROUP BY component_id",
+)(lambda f: f["source_units"].join(f["text_documents"].select("workspace_path", "content"), "workspace_path").groupBy("component_id").agg(digest.files(F.col("workspace_path"), F.col("content")).alias("d")))
 
 # --- sinks, read back ------------------------------------------------------------------------------------------------------
 

@@ -1,5 +1,8 @@
 """Queries over all rows and whole texts, on the smallest tables; tests/test_oracle.py holds those with SQL against it."""
 
+import re
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from factloom import queries
@@ -18,3 +21,23 @@ def test_joins_take_all_rows(spark):
     assert run(spark, "widest_context_all").select("id").distinct().count() == symbols.select("symbol_id").distinct().count()
     assert {"customer", "part", "supplier"} <= {r[0] for r in run(spark, "widest_context_all").select(F.split("id", ":")[0]).distinct().collect()}
 
+
+def test_texts_are_read_whole(spark):
+    documents = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    raw = {k: x.encode() for k, x in documents.items()}
+    n = run(spark, "tokenize").count()
+    found = run(spark, "byte_to_position_all").collect()
+    assert len(found) == n and max(r.off for r in found) > 10_000
+    for r in found:
+        if r.off > 1900 and r.off % 7 == 0:
+            head = raw[r.doc_id][: r.off].decode()
+            assert (r.line, r.col) == (head.count("\n") + 1, len(head.rsplit("\n", 1)[-1]) + 1)
+    found = run(spark, "snippet_all").collect()
+    assert len(found) == n and max(r.start_byte for r in found) > 10_000
+    for r in found:
+        if r.start_byte > 190 and r.start_byte % 7 == 0:
+            start, end = raw[r.doc_id].rfind(b"\n", 0, r.start_byte) + 1, raw[r.doc_id].find(b"\n", r.end_byte)
+            assert r.line == re.sub(r"^\s+|\s+$", "", raw[r.doc_id][start : end if end >= 0 else None].decode(), flags=re.A)
+    for r in run(spark, "range_text_all").collect():
+        assert r.t == re.sub(r"\s+", " ", documents[r.doc_id], flags=re.A).strip(" ")
+    assert "substring" not in run(spark, "utf16_offsets")._jdf.queryExecution().analyzed().toString()
