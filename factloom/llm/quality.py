@@ -9,16 +9,21 @@ the first stands, the rule is off there. So with probability 1 - error no stratu
 good documents (fixed-sequence testing on each ladder, Bonferroni over ladders, union bound over rules).
 
 Even with no good document rejected, a cutoff passes only if (1 - risk / rules) ** n <= error / (rules x strata): with the
-defaults (0.995 ** n <= 0.05 / 16) a stratum needs n >= 1151 good labelled documents. Below that all its rules are
-off and `kept` is just not base_failed there, so `kept` depends on how many labels there are.
-
-Cases: a null or empty text has no words and fails the base rule; labels without a document, null labels
-and repeated label rows of one document count as they stand in the join; with no good labelled document
-in a stratum all its rules are off; repeated rows are judged alike; extra columns are ignored.
+defaults (0.995 ** n <= 0.05 / 16) n >= 1151 good labelled documents are needed. A stratum with fewer is tested together
+with its neighbours, one more on each side until there are enough; the bound then holds for these strata in all. Where
+even all strata have fewer, every rule is off and `kept` is just not base_failed.
+
+Cases: a null or empty text has no words and fails the base rule. A document is good if it has a label of quality 1 and
+none of 0; it is one trial however often it or its label is repeated (of rows that share a doc_id, the one with the
+most words, then the greatest other features). Near copies under other ids are trials of their own, so a holdout should be
+drawn after dedup. Labels without a document and null labels do not count; repeated rows are judged alike; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +98,34 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(summed)
 
 
+def least_trials(risk: float = 0.02, error: float = 0.05) -> int:
+    """Good documents that a test needs before it can pass at all."""
+    return math.ceil(math.log(error / (len(RULES) * len(STRATA))) / math.log(1 - risk / len(RULES)))
+
+
+def pooled(per: DataFrame, least: int) -> DataFrame:
+    """Counts (stratum, n, rules) with those of neighbouring strata added until n is at least `least`: a row a stratum.
+
+    Strata that have too few even together are left out. Both sides of the join have len(STRATA) rows at most.
+    """
+    wide = F.explode(F.sequence(F.lit(0), F.lit(len(STRATA) - 1)))
+    around = per.sparkSession.range(len(STRATA)).select(F.col("id").cast("int").alias("to")).select("to", wide.alias("radius"))
+    met = around.join(F.broadcast(per), F.abs(F.col("to") - F.col("stratum")) <= F.col("radius"))
+    summed = [F.array(*(F.sum(F.get(rule, F.lit(k))) for k in range(len(ladder)))).alias(rule) for rule, (_, ladder) in RULES.items()]
+    sums = met.groupBy("to", "radius").agg(F.sum("n").alias("n"), *summed).where(F.col("n") >= least)
+    columns = ["n", *RULES]
+    first = sums.groupBy("to").agg(F.min_by(F.struct(*columns), "radius").alias("c"))
+    return first.select(F.col("to").alias("stratum"), *(F.col(f"c.{c}").alias(c) for c in columns))
+
+
+def trials(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The features of good labelled documents that pass the base rule: one row a doc_id."""
+    good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("best")).where("q = 1 and best = 1")
+    order = ["n_words", *(c for c in rows.columns if c not in ("doc_id", "n_words"))]
+    met = rows.where(~base_failed()).join(good.select("doc_id"), "doc_id")
+    return met.groupBy("doc_id").agg(F.max(F.struct(*order)).alias("f")).select("doc_id", "f.*")
+
+
 def thresholds(good: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:
     """(stratum, and for each rule its cutoff or null) from the features of good labelled documents.
 
@@ -101,7 +134,7 @@ def thresholds(good: DataFrame, risk: float = 0.02, error: float = 0.05) -> Data
     counts = [F.count("*").alias("n")]
     for rule, (value, ladder) in RULES.items():
         counts.append(F.array(*(F.count_if(F.expr(value) > F.lit(c)) for c in ladder)).alias(rule))
-    per = good.withColumn("stratum", stratum()).groupBy("stratum").agg(*counts)
+    per = pooled(good.withColumn("stratum", stratum()).groupBy("stratum").agg(*counts), least_trials(risk, error))
     level = error / (len(RULES) * len(STRATA))
     out = []
     for rule, (_, ladder) in RULES.items():
@@ -123,8 +156,7 @@ def judged(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 def op1_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = staged(features(docs), "features")
-    good = rows.where(~base_failed()).join(labels.where("quality = 1").select("doc_id"), "doc_id")
-    result = judged(rows, thresholds(good))
+    result = judged(rows, thresholds(trials(rows, labels)))
     return result.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & (F.size("over") == 0)).alias("kept"), F.array_join("over", ",").alias("rejected_by"),
@@ -156,8 +188,14 @@ feats AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_trans
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(ln)::BIGINT AS n_lines,
   (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words FROM listed LEFT JOIN reps USING (rid)),
 based AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, {strata} AS stratum FROM feats),
-good AS (SELECT based.* FROM based JOIN labels ON based.doc_id = labels.doc_id WHERE NOT base_failed AND quality = 1),
-ladder AS ({" UNION ALL ".join(ladders)}),
+fine AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+good AS (SELECT based.* FROM based JOIN fine ON based.doc_id = fine.doc_id WHERE NOT base_failed
+  QUALIFY row_number() OVER (PARTITION BY based.doc_id ORDER BY n_words DESC, word_chars DESC, n_symbols DESC, n_lines DESC, n_dup_lines DESC, n_repeat_words DESC) = 1),
+alone AS ({" UNION ALL ".join(ladders)}),
+ladder AS (SELECT near.to AS stratum, rule, step, cutoff, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k
+  FROM (SELECT a.to, r.radius FROM (SELECT unnest(range({len(STRATA)})) AS to) a, (SELECT unnest(range({len(STRATA)})) AS radius) r) near
+  JOIN alone ON abs(near.to - alone.stratum) <= near.radius GROUP BY near.to, near.radius, rule, step, cutoff HAVING sum(n) >= {least_trials()}
+  QUALIFY near.radius = min(near.radius) OVER (PARTITION BY near.to)),
 tested AS (SELECT *, ({tail}) <= {level!r}::DOUBLE AS ok FROM ladder),
 run AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS still FROM tested),
 cutoffs AS (SELECT stratum AS cs, {", ".join(chosen)} FROM run WHERE still GROUP BY stratum),
