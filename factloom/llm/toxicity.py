@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from factloom.llm.langid import fold_of
 
@@ -291,12 +292,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def training_texts(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 50_000) -> list[tuple[str, int]]:
     """Up to per_label training documents of each label, chosen by a hash of doc_id, none over `longest` characters.
 
-    This sample is the only bounded thing: per_label and longest bound what the driver holds.
+    This sample is the only bounded thing: per_label and longest bound what the driver holds, also where many rows
+    share a labelled doc_id (their texts then count towards per_label).
     """
-    usable = labels.where((fold_of(3) != 1) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    usable = labels.where((fold_of(3) != 1) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     order = F.xxhash64("doc_id")
     picked = usable.where("toxic = 1").orderBy(order, "doc_id").limit(per_label).union(usable.where("toxic = 0").orderBy(order, "doc_id").limit(per_label))
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(F.broadcast(picked), "doc_id")
+    # Each task keeps its first per_label rows of a label before any of them moves.
+    first = F.row_number().over(W.partitionBy("toxic").orderBy(order, "doc_id", F.xxhash64("text"), "text"))
+    texts = texts.withColumn("_n", first).where(F.col("_n") <= per_label)
     return [(r.text, r.toxic) for r in texts.select("text", "toxic").orderBy(F.xxhash64("text"), "text", "toxic").collect()]
 
 
