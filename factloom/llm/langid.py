@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from factloom.llm.common import packed, text_slices
 
@@ -101,24 +102,41 @@ class Model:
         self.p = np.ascontiguousarray((raised / raised.sum(1, keepdims=True)).T) if langs else np.zeros((1 << BITS, 0))
 
 
-def fit(docs: DataFrame, per_lang: int = 1500, longest: int = 100_000) -> Model:
-    """Count trigrams of about per_lang labelled texts of each language, chosen by a hash of doc_id.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n): trigrams of the batches' texts."""
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        langs = batch.column("lang").to_pylist()
+        for at, data, starts, ends, _ in text_slices(batch.column("text")):
+            folded = _folded(data)
+            for lang, a, b in zip(langs[at:], starts.tolist(), ends.tolist(), strict=False):
+                found = np.bincount(_codes(folded[a:b]), minlength=1 << BITS)
+                counts[lang] = counts[lang] + found if lang in counts else found
+    for lang, found in counts.items():
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(found[seen])], ["lang", "bucket", "n"])
 
-    Only the sample is bounded (per_lang texts of at most `longest` characters for each language).
+
+def fit(docs: DataFrame, per_lang: int = 1500) -> Model:
+    """Count trigrams of the per_lang labelled texts of each language that have the lowest hashes.
+
+    Only this sample is bounded: per_lang distinct texts a language, whatever their lengths and the number of rows. Texts
+    are counted where they lie; a row a language and bucket comes to the driver.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    # Each task keeps its per_lang lowest of a language before any row moves; copies of a text are one.
+    lowest = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    first = labelled.select("lang", "h").distinct().withColumn("i", lowest).where(F.col("i") <= per_lang)
+    tops = {r.lang: r.top for r in first.groupBy("lang").agg(F.max("h").alias("top")).collect()}
+    langs = sorted(tops)
     counts = np.zeros((len(langs), 1 << BITS))
     if not langs:
         return Model(langs, counts)
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, per_lang * 1_000_000 // sizes[lang]))).otherwise(share)
-    picked = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share) & (F.char_length("text") <= longest))
-    for row in picked.select("lang", "text").toLocalIterator():
-        raw = np.frombuffer(row.text.encode("utf-8", "replace"), np.uint8)
-        counts[langs.index(row.lang)] += np.bincount(_codes(_folded(raw)), minlength=1 << BITS)
+    top = F.create_map(*(F.lit(x) for lang in langs for x in (lang, tops[lang])))
+    picked = labelled.where(F.col("h") <= F.element_at(top, F.col("lang"))).dropDuplicates(["lang", "h"]).select("lang", "text")
+    summed = picked.mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    for row in summed.toLocalIterator():
+        counts[langs.index(row.lang), row.bucket] = row.n
     return Model(langs, counts)
 
 
