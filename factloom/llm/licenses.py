@@ -6,11 +6,13 @@ logistic regression with an L1 penalty over hashed words and word pairs is fitte
 implementation; its weights become one constant array that scores paragraphs inside the scan, without a
 shuffle. Every paragraph is scored: first by a bound that its weights give on the probability of any licence, then,
 unless the bound proves that `none` is likelier, in full. A paragraph that is likelier a licence than not, but whose best family is under a floor calibrated
-on held-out windows, or which shares too little with every notice of that family, is `unknown`.
+on held-out windows, or which shares too little with every notice of that family, is `unknown`. The floor says nothing
+of licences that no notice is like: for them the comparison with the templates decides.
 
-Cases: null and empty texts have no paragraph; a paragraph is a line with a word; letter case does not
-count; a notice that is repeated counts each time; repeated rows get equal results; extra columns are ignored;
-an empty table gives an empty result (the class `none` then has one placeholder paragraph).
+Cases: null and empty texts have no paragraph; a paragraph is a line with a word. A notice that is wrapped counts once:
+neighbouring licence lines are one licence up to a line that ends a sentence, of the likeliest family among them
+that is not `unknown`. Letter case does not count; a notice that is repeated counts each time; repeated rows get equal
+results; extra columns are ignored; an empty table gives an empty result (the class `none` then has one placeholder paragraph).
 """
 
 from __future__ import annotations
@@ -175,10 +177,28 @@ class Scanner:
         return let(grams(words(line)), lambda g: let(buckets(g), lambda b: judge(g, b)))
 
     def scan(self, docs: DataFrame) -> DataFrame:
-        """docs with licences: array of struct(line number from 0, family, p), for the lines that are licences."""
+        """docs with licences: array of struct(line number from 0, n_lines, family, p), in order."""
         lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-        judged = F.transform(lines, lambda x, i: F.struct(i.alias("line"), self.paragraph(x).alias("j")))
-        return docs.withColumn("licences", F.transform(F.filter(judged, lambda x: x["j"]["family"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["j"]["family"].alias("family"), x["j"]["p"].alias("p"))))
+        ended = lambda x: F.rlike(x, F.lit(r"[.!?:;]\s*$"))
+        judged = F.transform(lines, lambda x, i: F.struct(i.alias("line"), ended(x).alias("ended"), self.paragraph(x).alias("j")))
+        return docs.withColumn("licences", let(F.filter(judged, lambda x: x["j"]["family"].isNotNull()), _joined))
+
+
+def _joined(hits: Column) -> Column:
+    """Licence lines (line, ended, j) as licences: lines that follow one that does not end a sentence belong to it."""
+
+    def whole(first: Column, stop: Column) -> Column:
+        rank = lambda x: F.struct((x["j"]["family"] != "unknown").alias("known"), x["j"]["p"].alias("p"), x["j"]["family"].alias("family"))
+        best = let(F.slice(hits, first + 1, stop - first), lambda run: F.array_max(F.transform(run, rank)))
+        return let(best, lambda b: F.struct(F.get(hits, first)["line"].alias("line"), (stop - first).alias("n_lines"), b["family"].alias("family"), b["p"].alias("p")))
+
+    def goes_on(i: Column) -> Column:
+        return (i > 0) & ~F.get(hits, i - 1)["ended"] & (F.get(hits, i - 1)["line"] + 1 == F.get(hits, i)["line"])
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: ~goes_on(i))
+    every = let(starts, lambda s: F.transform(s, lambda i, k: whole(i, F.coalesce(F.get(s, k + 1), F.size(hits)))))
+    # Of an empty array a sequence would run backwards.
+    return F.when(F.size(hits) == 0, F.array().cast("array<struct<line:int,n_lines:int,family:string,p:double>>")).otherwise(every)
 
 
 def _grams(line: str) -> list[str]:
@@ -195,10 +215,12 @@ def fit(docs: DataFrame, error: float = 0.02) -> Scanner:
     The floor is the `error` quantile of the true family's probability on windows that were held out of training.
     """
     spark = docs.sparkSession
-    n = max(1, docs.count())
-    few = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < SAMPLE_DOCS * 1_000_000 // n) & F.col("text").isNotNull())
+    hashed = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    # The texts with the lowest hashes; copies of a text are one.
+    top = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    few = hashed.where(F.col("h") <= F.lit(top)).dropDuplicates(["h"])
     # Lines are hashed to a limit, so a few very long texts cannot fill the sample.
-    lines = few.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).orderBy(F.xxhash64("doc_id", "i", "line")).limit(SAMPLE_PARAGRAPHS)
+    lines = few.select("h", F.explode(F.split("text", "\n")).alias("line")).distinct().orderBy(F.xxhash64("h", "line"), "line").limit(SAMPLE_PARAGRAPHS)
     sample = staged(lines.select(words(F.col("line")).alias("w")).where(F.size("w") > 0), "paragraphs")
     notices = _notices(spark)
     plain = sample.where(let(grams(F.col("w")), lambda g: ~F.exists(_known(), lambda n: _share(g, n["grams"]) >= UNLIKE)))
