@@ -82,6 +82,21 @@ def test_quality_cutoffs_hold_the_risk(spark):
     assert none.where("kept").count() == 1540  # nothing labelled: no rule may reject
 
 
+def test_quality_takes_a_trial_a_document_and_pools_sparse_strata(spark):
+    assert quality.least_trials() == 1151 and 0.995**1151 <= 0.05 / 16 < 0.995**1150
+    rng = random.Random(3)
+    few = [prose(rng, 60, 5000) for _ in range(40)]
+    d = docs(spark, few + [" ".join(w + "%%%" for w in prose(rng, 60, 5000).split())])
+    again = spark.createDataFrame([(i, 1, 0) for i in range(40) for _ in range(60)], "doc_id long, quality int, toxic int")
+    assert quality.op1_quality(d, again).where("kept").count() == 41  # forty documents, however often labelled
+    both = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    assert [r.doc_id for r in quality.trials(quality.features(d.union(d)), both).collect()] == [2]
+    counts = [(s, n, *([k] * 9 for k in (0, 1, 2, 3))) for s, n in ((0, 700), (1, 1400), (3, 100))]
+    per = spark.createDataFrame(counts, "stratum int, n long, " + ", ".join(f"{r} array<long>" for r in quality.RULES))
+    found = {r.stratum: (r.n, r.repeats[0]) for r in quality.pooled(per, 1151).collect()}
+    assert found == {0: (2100, 4), 1: (1400, 2), 2: (1500, 4), 3: (1500, 4)} and quality.pooled(per, 2201).count() == 0
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(None, 1, None), (3, None, 1), (8, 1, 1), (8, 1, 1)], "doc_id long, quality int, toxic int")
     assert quality.op1_quality(odd(spark), labels).count() == odd(spark).count()
@@ -130,6 +145,14 @@ def test_toxicity_on_held_out(spark):
     assert [(s.start, s.stop) for s in tagged.toxic_spans] == [(6, 12)]
 
 
+def test_the_training_sample_is_bounded_where_rows_share_an_id(spark):
+    d = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0)], "doc_id long, toxic int")
+    assert zlib.crc32(b"1") % 3 != 1
+    found = toxicity.training_texts(d, labels, per_label=20)
+    assert Counter(y for _, y in found) == {0: 20, 1: 20}
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):
@@ -255,6 +278,72 @@ def test_licenses_judge_every_paragraph(spark):
     assert all(r.u for r in rows if r.none < 0.5) and any(r.none < 0.5 for r in rows) and not all(r.u for r in rows)
 
 
+def brute_licences(scanner, text):
+    """Every line in full by the scanner's weights, without the bound, then wrapped lines joined."""
+    import xxhash
+
+    hits = []
+    for i, line in enumerate((text or "").split("\n")):
+        grams = licenses._grams(line)
+        if not grams:
+            continue
+        b = {np.int64(np.uint64(xxhash.xxh64_intdigest(g.encode(), 42))) % licenses.BUCKETS for g in grams}
+        raw = np.array(scanner.bias) + np.array([scanner.weights[x] for x in b]).sum(0)
+        p = np.exp(raw - raw.max())
+        p /= p.sum()
+        if p[0] >= 0.5:
+            continue
+        best = 1 + int(np.argmax(p[1:]))
+        family = scanner.families[best - 1]
+        share = max(len(set(grams) & set(n)) / min(len(grams), len(n)) for x in licenses.NOTICES[family] for n in [licenses._grams(x)])
+        if p[best] / max(1 - p[0], 1e-12) < scanner.floor or share < licenses.SHARED:
+            family = "unknown"
+        if hits and hits[-1][0] + hits[-1][1] == i and not hits[-1][4]:
+            known = max([(hits[-1][2] != "unknown", hits[-1][3], hits[-1][2]), (family != "unknown", p[best], family)])
+            hits[-1] = [hits[-1][0], hits[-1][1] + 1, known[2], known[1], bool(re.search(r"[.!?:;]\s*$", line))]
+        else:
+            hits.append([i, 1, family, p[best], bool(re.search(r"[.!?:;]\s*$", line))])
+    return [tuple(h[:3]) for h in hits]
+
+
+def test_licences_match_brute_force(spark):
+    rng = random.Random(19)
+    notices = [x for lines in licenses.NOTICES.values() for x in lines]
+    texts = [*ODD, *(prose(rng, 40) for _ in range(100))]
+    for _ in range(60):
+        parts = [prose(rng, rng.randrange(1, 20)) if rng.random() < 0.5 else rng.choice(notices) for _ in range(rng.randrange(1, 8))]
+        mixed = rng.sample([w for n in notices for w in n.split()], 9)
+        wrapped = " ".join(parts).split()
+        texts += ["\n".join([*parts, " ".join(mixed)]), "\n".join(" ".join(wrapped[k : k + 9]) for k in range(0, len(wrapped), 9))]
+    d = docs(spark, texts)
+    scanner = licenses.fit(d)
+    found = {r.doc_id: [(x.line, x.n_lines, x.family) for x in r.licences] for r in scanner.scan(d).collect()}
+    assert found == {i: brute_licences(scanner, t) for i, t in enumerate(texts)}
+    assert any(n > 1 for f in found.values() for _, n, _ in f) and any(x == "unknown" for f in found.values() for _, _, x in f)
+    out = {r.doc_id: (r.n_licences, r.n_unknown, r.families) for r in licenses.op4_licenses(d).collect()}
+    assert out == {i: (len(f), sum(x == "unknown" for *_, x in f), ",".join(sorted({x for *_, x in f}))) for i, f in found.items()}
+
+
+def test_a_wrapped_notice_is_one_licence(spark):
+    rng = random.Random(20)
+    notice = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files."
+    texts = [f"{prose(rng, 30)}\n{notice}\n{prose(rng, 30)}", "Released under the MIT License.\nReleased under the MIT License."]
+    texts += [prose(rng, 40) for _ in range(100)]
+    found = {r.doc_id: (r.n_licences, r.families) for r in licenses.op4_licenses(docs(spark, texts)).collect()}
+    assert found[0] == (1, "mit") and found[1] == (2, "mit") and all(found[i][0] == 0 for i in range(2, 102))
+
+
+@pytest.mark.parametrize("family", ["gpl", "mpl", "cc-by"])
+def test_families_never_seen_are_unknown(spark, monkeypatch, family):
+    rng = random.Random(21)
+    # Of a line as short as "Licensed under CC BY 4.0." nothing but two words is known without its family.
+    lines = [x for x in licenses.NOTICES[family] if ("licensed under" in x.lower() or "public license, v" in x.lower()) and len(x.split()) > 5]
+    alike = {"cc-by": ("cc-by", "cc-by-nc", "cc-by-sa")}.get(family, (family,))
+    monkeypatch.setattr(licenses, "NOTICES", {f: x for f, x in licenses.NOTICES.items() if f not in alike})
+    found = {r.doc_id: r.families for r in licenses.op4_licenses(docs(spark, lines + [prose(rng, 40) for _ in range(150)])).collect()}
+    assert [found[i] for i in range(len(lines))] == ["unknown"] * len(lines)
+
+
 # --- languages ------------------------------------------------------------------------------------------------
 
 
@@ -278,6 +367,20 @@ def test_em_finds_the_shares():
     assert shares[0] == pytest.approx(best, abs=0.01)
 
 
+def test_the_sample_of_a_language_is_its_lowest_hashes(spark):
+    """Copies count once, long texts count, and the counts are those of the texts drawn."""
+    import xxhash
+
+    rng = random.Random(12)
+    texts = [*(prose(rng, 20) for _ in range(30)), *["the same copy"] * 50, prose(rng, 60_000)]
+    d = docs(spark, texts)
+    for per_lang in (5, 1000):
+        drawn = sorted(set(texts), key=lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))[:per_lang]
+        wanted = sum(np.bincount(langid._codes(langid._folded(np.frombuffer(t.encode(), np.uint8))), minlength=1 << langid.BITS) for t in drawn)
+        model = langid.fit(d, per_lang)
+        assert model.langs == ["en"] and np.allclose(model.p[:, 0], (wanted + 0.1) / (wanted + 0.1).sum())
+
+
 def test_languages_odd(spark):
     out = {r.doc_id: r for r in langid.op5_language_id(odd(spark).where("doc_id is not null")).collect()}
     assert [out[i].lang_pred for i in (0, 1, 2, 6)] == ["und"] * 4 and out[5].lang_pred != "und"
@@ -526,6 +629,29 @@ def test_decontamination(spark, words_per_automaton):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, keys))).encode()).hexdigest() and r.contaminated == bool(keys)
 
 
+def test_decontamination_with_text_ids(spark):
+    items, texts = bench_fixture(13)
+    b = spark.createDataFrame([(f"item {i}", t) for i, t in items], "item_id string, text string")
+    d = docs(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), F.format_string("%04d", "doc_id")))
+    for bound in (1_000_000, 60):
+        found = decontaminate.find_benchmark(d, b, words_per_automaton=bound).orderBy("doc_id").collect()
+        assert [r.bench_items for r in found] == [sorted(f"item {k}" for k in brute_hits(t, items)[2]) for t in texts]
+
+
+def test_equal_words_take_one_step_each():
+    """A text of one word runs up no links: eight times the words take far less than eight squared times as long."""
+    from time import perf_counter
+
+    automaton = decontaminate.SuffixAutomaton([(1, [b"a"] * 20_000), (2, [b"a"] * 3)], 10)
+    seconds = []
+    for n in (5_000, 40_000):
+        begin = perf_counter()
+        spans, longest, found = automaton.scan([b"a"] * n)
+        seconds.append(perf_counter() - begin)
+        assert spans == [(0, n)] and longest == min(n, 20_000) and found == {1, 2}
+    assert seconds[1] < 32 * seconds[0]
+
+
 def test_removal(spark):
     item = "one two three four five six seven eight nine ten eleven"
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
