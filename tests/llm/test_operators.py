@@ -507,6 +507,96 @@ def test_schema_checks():
     assert chat.problems({"a": True}, s) == ["$.a: not integer/null"] and chat.problems({}, s) == ["$.a: missing"]
 
 
+def test_schema_checks_tell_values_apart():
+    assert chat.problems(True, {"enum": [1]}) and chat.problems(1, {"const": True}) and not chat.problems(1.0, {"const": 1}) and chat.problems([{"a": 0}], {"const": [{"a": False}]})
+    assert chat.problems(10**400, {"type": "integer"}) == [] and chat.problems(0.5, {"type": "integer"}) == ["$: not integer"]
+
+
+def test_hostile_messages(spark):
+    """Lone surrogates, deep nesting, huge numbers and NaN neither stop the job nor give JSON that is none."""
+    call = lambda a, n="get", i="a": json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a}]})
+    deep = "[" * 100_000 + "]" * 100_000
+    texts = [
+        call({"q": "\ud800"}, "n\udfff", "i\udc00"), json.dumps({"tool_call_id": "i\udc00", "content": "\ud800"}), call(deep), '{"tool_calls": [{"id": "b", "arguments": %s}]}' % deep,
+        call("1" * 400), call("[" * 900 + "]" * 900), '{"tool_call_id": "x", "content": NaN}', '{"tool_call_id": "y", "content": 1e999}', call("NaN"), '{"tool_call_id": 5, "content": ' + "9" * 5000 + "}",
+    ]
+    d = spark.createDataFrame([(1, i, "tool", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    out = {r.turn: r for r in chat.link(d, {"get": {"type": "integer"}}).collect()}
+    strict = lambda x: json.loads(x, parse_constant=lambda c: 1 / 0)
+    assert all(strict(r.json) is not None for r in out.values()) and len(out) == len(texts)
+    assert strict(out[0].json)["arguments"] == {"q": "\ud800"} and out[0].call_id == "i\\udc00" and out[1].status == "linked"
+    assert [out[i].kind for i in (3, 6, 7, 9)] == ["message"] * 4 and out[4].valid
+    assert "not JSON" in out[2].errors and "not JSON" in out[8].errors
+
+
+def brute_order(events):
+    """Levels of calls, by walking down their needs; None on a cycle or behind one."""
+    needs = {}
+    for kind, key, need in events:
+        if kind == "call":
+            needs.setdefault(key, set()).update(need)
+    level = {}
+    for _ in needs:
+        for k, n in needs.items():
+            n = n & needs.keys()
+            if all(x in level for x in n):
+                level[k] = 1 + max((level[x] for x in n), default=-1)
+    return {k: level.get(k) for k in needs}
+
+
+@pytest.mark.parametrize("bound", [100_000, 3, 0])
+def test_calls_are_ordered_topologically(spark, monkeypatch, bound):
+    monkeypatch.setattr(chat, "EDGES", bound)
+    rng = random.Random(30)
+    rows, wanted = [], {}
+    for conv in range(12):
+        keys = [f"k{i}" for i in range(rng.randrange(1, 9))]
+        told = []
+        for i, k in enumerate(keys):
+            loops = conv % 4 == 3
+            pool = keys if loops else keys[:i]
+            need = {x for x in pool if rng.random() < 0.4} | ({"nowhere"} if rng.random() < 0.2 else set())
+            told.append(("call", k, need))
+        wanted[conv] = brute_order(told)
+        turns = list(range(2 * len(keys)))
+        rng.shuffle(turns)
+        for k, (_, _, need) in zip(keys, told, strict=True):
+            rows.append((conv, turns.pop(), "assistant", json.dumps({"tool_calls": [{"id": k, "name": "f", "arguments": {"of": sorted(f"${x}" for x in need)}}]})))
+            rows.append((conv, turns.pop(), "tool", json.dumps({"tool_call_id": k, "content": 1})))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    linked = staged_once(chat.link(d))
+    got = {}
+    for r in linked.where("kind = 'call'").collect():
+        got.setdefault(r.conv_id, {})[r.call_id] = r.level
+    assert got == wanted
+    lines = {}
+    for r in chat.serialised(linked).collect():
+        lines.setdefault(r.conv_id, []).append(json.loads(r.json))
+    for conv, events in lines.items():
+        answered, called = set(), set()
+        for e in events:
+            if "tool_call_id" in e:
+                assert wanted[conv][e["tool_call_id"]] is None or e["tool_call_id"] in called
+                answered.add(e["tool_call_id"])
+            else:
+                called.add(e["id"])
+                assert wanted[conv][e["id"]] is None or {x[1:] for x in e["arguments"]["of"]} & wanted[conv].keys() <= answered
+
+
+def staged_once(df):
+    from factloom.llm.common import staged
+
+    return staged(df, "test")
+
+
+def test_plain_conversations_keep_their_turns(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(6)] + [("c", 0, "user", ""), ("c", 1, "assistant", None), ("d", 0, "user", None)]
+    d = spark.createDataFrame([(str(a), *b) for a, *b in rows], "conv_id string, turn long, role string, text string")
+    linked = chat.op7_chat(d)
+    assert [json.loads(r.json)["content"] for r in chat.serialised(linked.where("conv_id = '1'")).collect()] == [f"t{t}" for t in range(6)]
+    assert {r.conv_id: r.errors for r in linked.where("not valid").collect()} == {"c": "$.content: too short", "d": "$.content: not string"}
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------
 
 
