@@ -1,25 +1,31 @@
 """Token ids in a content-addressed store: rolling-hash chunks, recipes, Merkle manifests.
 
 Writing: texts are encoded in place (no shuffle of text); a rolling hash over the ids cuts each document
-into chunks; a chunk is named by the SHA-256 of its bytes. Three Parquet folders make a store:
+into chunks; a chunk is named by the SHA-256 of its bytes. Four Parquet folders make a store:
 
   chunks/    (chunk, n_ids, ids)            each distinct chunk once, ids as little-endian uint16 or
                                             uint32 (width is a parameter: 2 bytes hold a 49k vocabulary)
   recipes/   (doc_id, row, segment, start, n_ids, chunks array, root)
                                             ascending doc_id; root is the Merkle root of the chunks
-  manifest/  (segment, n_docs, n_ids, root) Merkle root of each segment's documents; `store_root` folds
-                                            these into one
+  manifest/  (segment, n_docs, n_ids, root, listing)
+                                            Merkle root of each segment's documents; listing is the SHA-256
+                                            of its ids, starts and lengths in order
+  root/      (root, n_segments, n_docs, n_ids) one row: the Merkle root of the segments' roots
 
-Reading verifies: every chunk's bytes must hash to its name, every recipe must find its chunks with the
-lengths it states, and the roots must agree with the manifest.
+Reading verifies and tells of each document: `intact`, its chunks' bytes hash to their names, its recipe finds them
+with the lengths it states and their Merkle root is the recipe's; `segment_ok`, the roots and listing of its segment,
+computed anew from the recipes, are the manifest's; `store_ok`, every segment of the manifest is there and
+agrees, and the manifest's roots give the stored root. `verify_store` has a row a segment, lost ones too.
 
 Cases: null and empty texts are a lone end id; repeated rows and repeated doc_ids each have a recipe (ties
-by row); a null doc_id sorts first; an empty table makes an empty store; other columns are ignored.
+by row); doc_ids of any type with an order keep it; a null doc_id sorts first; an empty table makes an empty store;
+without a manifest no segment is ok; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -31,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from factloom.llm.common import discard, mix, scratch_path, staged
@@ -65,19 +72,21 @@ class _Numbers(dict):
 class Encoder:
     """The library's tokenizer over whole texts, with the ids of pieces of text kept.
 
-    With by_word, for tokenizers that normalise by NFC and lower case and part words at white space and between
-    letters and punctuation (the word_bpe family), a text is split at ' ' and '\\n', which no token spans. Latin-1
+    The tokenizer is given as a file's path or as its JSON. With by_word (None: where `splits_words` says so), for
+    tokenizers that normalise by NFC and lower case and part words at white space and between letters and punctuation, a text is split at ' ' and '\\n', which no token spans. Latin-1
     texts are put in lower case first, and their commas and full stops split off, where this cannot change a token:
     no two marks touch and no special token can be in the text. A piece that is a word, with marks behind it
     or not, is the word's ids and the marks'; new words go to the library many at a time, and each ends with a token
     that ends a word. All other pieces go to the library as they are. Without by_word each text does.
     """
 
-    def __init__(self, path: str, end_id: int, width: int, by_word: bool = True):
+    def __init__(self, tokenizer: str, end_id: int, width: int, by_word: bool | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        told = definition(tokenizer)
+        self.tokenizer = Tokenizer.from_str(told)
+        by_word = splits_words(told) if by_word is None else by_word
         self.kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
         size = self.tokenizer.get_vocab_size()
         if size > 256**width or end_id >= 256**width:
@@ -183,15 +192,40 @@ class Encoder:
         return self.flat[place], np.concatenate([[0], stop[np.array(ends) - 1]])
 
 
+def definition(tokenizer: str) -> str:
+    """The tokenizer's JSON, of a file's path or of itself."""
+    if tokenizer.lstrip()[:1] == "{":
+        return tokenizer
+    with open(tokenizer, encoding="utf-8") as f:
+        return f.read()
+
+
+def splits_words(told: str) -> bool:
+    """Whether a tokenizer's JSON is of the family that Encoder may feed word by word: all that its rules rely on."""
+    j = json.loads(told)
+    normal = (j.get("normalizer") or {}).get("normalizers") or []
+    pre = (j.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = j.get("model") or {}
+    kinds = [n.get("type") for n in normal] == ["NFC", "Replace", "Lowercase"] and [n.get("type") for n in pre] == ["Split", "ByteLevel"]
+    return (
+        kinds and normal[1].get("pattern") == {"Regex": "\\s+"} and normal[1].get("content") == " "
+        and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+        and pre[0].get("pattern") == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+        and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and all(a.get("content", "").startswith("<|") for a in j.get("added_tokens") or [])
+    )
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(*of: object) -> Encoder:
+def encoder(key: tuple, tokenizer: str) -> Encoder:
     """The process's encoder: Python workers run many tasks, and what one has learnt serves the next."""
-    if of not in _encoders:
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[of] = Encoder(*of)  # type: ignore[arg-type]
-    return _encoders[of]
+        _encoders[key] = Encoder(tokenizer, *key[1:])
+    return _encoders[key]
 
 
 def borders(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -233,21 +267,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-_ROWS = pa.schema(
-    [
-        ("kind", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_ids", pa.int64()),
-        ("chunks", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("root", pa.binary()),
-        ("chunk", pa.binary()), ("ids", pa.binary()),
-    ]
-)
-_ROWS_SQL = "kind string, doc_id long, row long, n_ids long, chunks array<binary>, sizes array<int>, root binary, chunk binary, ids binary"
+def _struct(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+_LONG, _BYTES, _BOOL = T.LongType(), T.BinaryType(), T.BooleanType()
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, width: int, by_word: bool) -> DataFrame:
-    """A recipe row for each document and a chunk row for each chunk that its task has not emitted yet."""
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, by_word: bool | None) -> DataFrame:
+    """A recipe row for each document and a chunk row for each chunk that its task has not emitted yet.
+
+    The tokenizer goes to the executors as its JSON (a vocabulary, whose size does not grow with the data).
+    """
+    told = definition(tokenizer)
+    key = (hashlib.sha256(told.encode()).hexdigest(), end_id, width, by_word)
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+    schema = _struct(
+        kind=T.StringType(), doc_id=docs.schema["doc_id"].dataType, row=_LONG, n_ids=_LONG, chunks=T.ArrayType(_BYTES), sizes=T.ArrayType(T.IntegerType()), root=_BYTES, chunk=_BYTES, ids=_BYTES
+    )
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id, width, by_word).encode
+        encode = encoder(key, shared.value).encode
         row = TaskContext.get().partitionId() << 40
         emitted: set[bytes] = set()
         for batch in batches:
@@ -272,13 +313,16 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int, by_word: bool)
                         a = b
                     out.append(("recipe", doc_id, row, len(x), names, sizes, merkle(names), None, None))
                     row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ROWS, strict=True)], schema=_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, _ROWS_SQL)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int = 2, by_word: bool = True) -> str:
-    """Encode docs (doc_id, text) into a store at path, a folder of the shared store; gives path."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, width: int = 2, by_word: bool | None = None) -> str:
+    """Encode docs (doc_id, text) into a store at path, a folder of the shared store; gives path.
+
+    tokenizer is a path on the driver, or the tokenizer's JSON; by_word is Encoder's.
+    """
     spark = docs.sparkSession
     raw = scratch_path(spark, "ids")
     rows = staged(_encoded(docs, tokenizer, end_id, width, by_word), "ids", raw, partition_by=["kind"])
@@ -298,40 +342,83 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, wid
     )
     columns = ["doc_id", "row", "segment", "start", "n_ids", "chunks", "sizes", "root"]
     placed.select(*columns).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    _segments(spark.read.parquet(f"{path}/recipes"), "root").write.parquet(f"{path}/manifest")
+    totals = spark.read.parquet(f"{path}/manifest").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_ids")), F.count("*").alias("n_segments"))
+    totals.select(F.unhex(F.lit(store_root(spark, path))).alias("root"), "n_segments", "n_docs", "n_ids").write.parquet(f"{path}/root")
     discard(spark, raw)
     return path
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """Merkle root of each segment over its documents' roots in order."""
+def _segments(recipes: DataFrame, root: str) -> DataFrame:
+    """(segment, n_docs, n_ids, root, listing): each segment's documents in order; `root` is the column with their roots."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, docs, ids, roots = None, 0, 0, []
+        segment, docs, ids, roots, listing = None, 0, 0, [], hashlib.sha256()
         done = []
         for batch in batches:
-            for s, n, root in zip(*(batch.column(c).to_pylist() for c in ("segment", "n_ids", "root")), strict=True):
+            for s, doc_id, start, n, one in zip(*(batch.column(c).to_pylist() for c in ("segment", "name", "start", "n_ids", "root")), strict=True):
                 if s != segment and segment is not None:
-                    done.append((segment, docs, ids, merkle(roots)))
-                    docs, ids, roots = 0, 0, []
+                    done.append((segment, docs, ids, merkle(roots), listing.digest()))
+                    docs, ids, roots, listing = 0, 0, [], hashlib.sha256()
                 segment = s
                 docs, ids = docs + 1, ids + n
-                roots.append(root)
+                roots.append(one)
+                listing.update(f"{doc_id!r} {start} {n}\n".encode())
         if segment is not None:
-            done.append((segment, docs, ids, merkle(roots)))
+            done.append((segment, docs, ids, merkle(roots), listing.digest()))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["segment", "n_docs", "n_ids", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["segment", "n_docs", "n_ids", "root", "listing"])
 
-    ordered = recipes.select("segment", "start", "n_ids", "root").repartition("segment").sortWithinPartitions("segment", "start")
-    return ordered.mapInArrow(fold, "segment long, n_docs long, n_ids long, root binary")
+    rows = recipes.select("segment", F.col("doc_id").cast("string").alias("name"), "start", "n_ids", F.col(root).alias("root"))
+    return rows.repartition("segment").sortWithinPartitions("segment", "start").mapInArrow(fold, "segment long, n_docs long, n_ids long, root binary, listing binary")
 
 
 def store_root(spark: SparkSession, path: str) -> str:
-    """One hash for the whole store, from a row for each segment."""
+    """One hash for the whole store, from the manifest's row for each segment."""
     rows = spark.read.parquet(f"{path}/manifest").sort("segment").select("root").collect()
     return merkle([bytes(r.root) for r in rows]).hex()
 
 
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes with `found_root`, the Merkle root of the chunks they name, and `whole`: it and the sizes are as stated."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    names = recipes.schema.names
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, fine = [], []
+            for chunks, sizes, root, n in zip(*(batch.column(c).to_pylist() for c in ("chunks", "sizes", "root", "n_ids")), strict=True):
+                roots.append(merkle(chunks or []))
+                fine.append(roots[-1] == root and len(chunks or []) == len(sizes or []) and sum(sizes or []) == n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary()), pa.array(fine, pa.bool_())], [*names, "found_root", "whole"])
+
+    return staged(recipes.mapInArrow(check, T.StructType([*recipes.schema.fields, *_struct(found_root=_BYTES, whole=_BOOL)])), "recipes")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def verify_store(spark: SparkSession, path: str, recipes: DataFrame | None = None) -> DataFrame:
+    """(segment, segment_ok, store_ok), a row for each segment of the manifest or the recipes: roots and listings computed
+    anew from the recipes against the manifest, and the manifest's roots against the stored one."""
+    found = staged(_segments(recipes or _recipes(spark, path), "found_root"), "segments")
+    if not _exists(spark, f"{path}/manifest"):
+        return found.select("segment", F.lit(False).alias("segment_ok"), F.lit(False).alias("store_ok"))
+    told = spark.read.parquet(f"{path}/manifest")
+    columns = ["n_docs", "n_ids", "root", "listing"]
+    both = found.toDF("segment", *(f"_{c}" for c in columns)).join(told, "segment", "full")
+    fine = F.lit(True)
+    for c in columns:
+        fine = fine & F.col(c).isNotNull() & F.col(f"_{c}").eqNullSafe(F.col(c))
+    # A row a segment, of which there are as many as the writing shuffle had partitions.
+    rows = staged(both.select("segment", fine.alias("segment_ok")), "verified")
+    stored = spark.read.parquet(f"{path}/root").first() if _exists(spark, f"{path}/root") else None
+    whole = stored is not None and bytes(stored.root).hex() == store_root(spark, path) and not rows.where("not segment_ok").limit(1).count()
+    return rows.withColumn("store_ok", F.lit(whole))
+
+
 _POLY = np.uint32(0xEDB88320)
 
 
@@ -366,13 +453,14 @@ def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, row, segment, start, n_tokens, ids_crc32, intact) of each document from the store's files.
+    """(doc_id, row, segment, start, n_tokens, ids_crc32, intact, segment_ok, store_ok) of each document from the store's files.
 
     Each chunk is read, verified and digested once where it lies; only digests are joined with recipes, and
     a document's CRC-32 is the xor of its chunks' shifted ones. So no id moves, and a chunk that a third of
     all documents share is still read once.
     """
     kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+    keep = ["doc_id", "row", "segment", "start", "found", "same"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,48 +477,58 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
         for batch in batches:
             crc = np.asarray(batch.column("crc").fill_null(0)).astype(np.uint32)
             part = crc_shifted(crc, 4 * np.asarray(batch.column("after")))
-            named = [batch.column(c) for c in ("doc_id", "row", "segment", "start", "found", "same")]
-            yield pa.RecordBatch.from_arrays([*named, pa.array(part.astype(np.int64))], ["doc_id", "row", "segment", "start", "found", "same", "part"])
+            named = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(part.astype(np.int64))], [*keep, "part"])
 
     chunks = spark.read.parquet(f"{path}/chunks").select("chunk", "ids").mapInArrow(digest, "chunk binary, found long, crc long, good boolean")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = _recipes(spark, path)
+    segments = verify_store(spark, path, recipes)
     pieces = recipes.select(
-        "doc_id", "row", "segment", "start", "n_ids",
-        F.posexplode(F.arrays_zip("chunks", "sizes")).alias("pos", "piece"), "sizes",
+        "doc_id", "row", "segment", "start", "n_ids", "whole",
+        F.posexplode_outer(F.arrays_zip("chunks", "sizes")).alias("pos", "piece"), "sizes",
     ).select(
-        "doc_id", "row", "segment", "start", F.col("piece.chunks").alias("chunk"), F.col("piece.sizes").alias("size"),
+        "doc_id", "row", "segment", "start", "whole", F.col("piece.chunks").alias("chunk"), F.col("piece.sizes").alias("size"),
         F.aggregate(F.slice("sizes", F.col("pos") + 2, F.size("sizes")), F.lit(0).cast("long"), lambda a, x: a + x).alias("after"),
     )
-    same = F.coalesce(F.col("good") & (F.col("found") == F.col("size")), F.lit(False))
+    same = F.coalesce(F.col("whole") & F.col("good") & (F.col("found") == F.col("size")), F.lit(False))
     joined = pieces.hint("merge").join(chunks, "chunk", "left").withColumn("same", same)
-    parts = joined.select("doc_id", "row", "segment", "start", "after", "found", "same", "crc").mapInArrow(
-        shift, "doc_id long, row long, segment long, start long, found long, same boolean, part long"
-    )
-    return parts.groupBy("doc_id", "row", "segment", "start").agg(
+    shifted = _struct(doc_id=recipes.schema["doc_id"].dataType, row=_LONG, segment=_LONG, start=_LONG, found=_LONG, same=_BOOL, part=_LONG)
+    parts = joined.select(*keep, F.coalesce("after", F.lit(0).cast("long")).alias("after"), "crc").mapInArrow(shift, shifted)
+    whole = parts.groupBy("doc_id", "row", "segment", "start").agg(
         F.sum("found").alias("n_tokens"), F.bit_xor("part").alias("ids_crc32"), F.bool_and("same").alias("intact")
     )
+    return whole.join(F.broadcast(segments), "segment", "left").select(*whole.columns, "segment_ok", "store_ok")
 
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, row, ids array<int>): every document's ids, put together again by its recipe."""
+    """(doc_id, row, ids array<int>, intact): every document's ids, put together again by its recipe.
+
+    Each chunk must hash to its name and the names give the recipe's root; else intact is false and ids null.
+    """
     kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p), kind).astype(np.int32) for p in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row", "ids"])
-
-    pieces = spark.read.parquet(f"{path}/recipes").select("doc_id", "row", F.posexplode("chunks").alias("pos", "chunk"))
-    whole = (
-        pieces.join(spark.read.parquet(f"{path}/chunks"), "chunk")
-        .groupBy("doc_id", "row")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]).alias("parts"))
+            ids, fine = [], []
+            for parts, whole in zip(batch.column("parts").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+                ok = bool(whole) and all(p["ids"] is not None and hashlib.sha256(p["ids"]).digest() == p["chunk"] for p in parts)
+                fine.append(ok)
+                ids.append(np.frombuffer(b"".join(p["ids"] for p in parts), kind).astype(np.int32) if ok else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(fine)], ["doc_id", "row", "ids", "intact"])
+
+    recipes = _recipes(spark, path)
+    pieces = recipes.select("doc_id", "row", "whole", F.posexplode_outer("chunks").alias("pos", "chunk"))
+    gathered = (
+        pieces.join(spark.read.parquet(f"{path}/chunks").select("chunk", "ids"), "chunk", "left")
+        .groupBy("doc_id", "row", "whole")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "chunk", "ids"))).alias("parts"))
     )
-    return whole.mapInArrow(join, "doc_id long, row long, ids array<int>")
+    schema = _struct(doc_id=recipes.schema["doc_id"].dataType, row=_LONG, ids=T.ArrayType(T.IntegerType()), intact=_BOOL)
+    return gathered.mapInArrow(join, schema)
 
 
 def op10_token_store(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write docs' ids to a store, read it back: doc_id, start, n_tokens, ids_crc32 (and intact)."""
+    """Write docs' ids to a store, read it back: doc_id, start, n_tokens, ids_crc32, and what reading verified."""
     spark = docs.sparkSession
     path = write_store(docs, path or scratch_path(spark, "store"), tokenizer)
-    return read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "intact")
+    return read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "intact", "segment_ok", "store_ok")

@@ -810,6 +810,65 @@ def test_store_round_trip(spark, vocabulary, tmp_path):
     assert 0 < token_store.read_digests(spark, f"{path}2").where("not intact").count() < len(texts)
 
 
+def test_store_notices_what_changed(spark, vocabulary, tmp_path):
+    """A changed recipe, a lost segment, swapped manifest rows, a wrong stored root and a lost chunk are told of."""
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randrange(20, 2000)) for _ in range(60)]
+    base = f"file://{tmp_path}/store"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a table as small as this is one segment
+    try:
+        token_store.write_store(docs(spark, texts).repartition(4), base, vocabulary)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    parts = {n: spark.read.parquet(f"{base}/{n}") for n in ("chunks", "recipes", "manifest", "root")}
+    segments = [r.segment for r in parts["manifest"].orderBy("segment").collect()]
+    assert len(segments) > 1
+    copies = iter(range(100))
+
+    def read(**changed):
+        path = f"{base}-{next(copies)}"
+        for n, df in (parts | changed).items():
+            df.write.parquet(f"{path}/{n}")
+        return token_store.read_digests(spark, path).collect(), {r.segment: r for r in token_store.verify_store(spark, path).collect()}, path
+
+    rows, told, _ = read()
+    assert all(r.intact and r.segment_ok and r.store_ok for r in rows) and all(r.segment_ok and r.store_ok for r in told.values()) and len(rows) == 60
+    recipes = parts["recipes"]
+    mine = recipes.where("doc_id = 5").first()
+    other = recipes.where(f"segment = {mine.segment} and doc_id <> 5").first()
+    swapped = recipes.withColumn("chunks", F.when(F.col("doc_id") == 5, F.array(*(F.lit(bytes(c)) for c in other.chunks))).otherwise(F.col("chunks")))
+    rows, told, path = read(recipes=swapped)
+    assert [r.doc_id for r in rows if not r.intact] == [5] and {r.segment for r in rows if not r.segment_ok} == {mine.segment} and not any(r.store_ok for r in rows)
+    assert [r.doc_id for r in token_store.read_documents(spark, path).where("not intact and ids is null").collect()] == [5]
+    rows, told, _ = read(recipes=recipes.where(F.col("segment") != segments[0]))
+    assert all(r.intact and r.segment_ok and not r.store_ok for r in rows) and [s for s, r in told.items() if not r.segment_ok] == [segments[0]]
+    moved = parts["manifest"].withColumn("segment", F.when(F.col("segment") == segments[0], segments[1]).when(F.col("segment") == segments[1], segments[0]).otherwise(F.col("segment")))
+    rows, told, _ = read(manifest=moved)
+    assert all(r.intact for r in rows) and {s for s, r in told.items() if not r.segment_ok} == set(segments[:2])
+    named = recipes.withColumn("doc_id", F.when(F.col("doc_id") == 5, 500).otherwise(F.col("doc_id")))
+    assert {r.segment for r in read(recipes=named)[0] if not r.segment_ok} == {mine.segment}
+    rows, _, _ = read(root=parts["root"].withColumn("root", F.unhex(F.lit("00" * 32))))
+    assert all(r.intact and r.segment_ok and not r.store_ok for r in rows)
+    rows, _, path = read(chunks=parts["chunks"].where(F.col("chunk") != F.lit(bytes(mine.chunks[0]))))
+    assert [r.doc_id for r in rows if not r.intact] == [5] and token_store.read_documents(spark, path).where("intact").count() == 59
+
+
+def test_store_of_text_ids_and_other_tokenizers(spark, vocabulary, tmp_path):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    other = str(Path(vocabulary).with_name("byte_bpe_50k.json"))
+    assert token_store.splits_words(token_store.definition(vocabulary)) and not token_store.splits_words(token_store.definition(other))
+    texts = ["It's a Test, of  some\n\ntext", "ÀÉ日本 and so on", "", prose(random.Random(1), 300)]
+    d = docs(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    path = token_store.write_store(d, f"file://{tmp_path}/s", other, end_id=0, width=4)
+    library = Tokenizer.from_file(other)
+    found = {r.doc_id: r.ids for r in token_store.read_documents(spark, path, width=4).collect()}
+    assert found == {f"d{i}": [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert [r.doc_id for r in token_store.read_digests(spark, path, width=4).orderBy("start").collect()] == ["d0", "d1", "d2", "d3"]
+
+
 def test_store_odd(spark, vocabulary):
     d = odd(spark)
     out = token_store.op10_token_store(d, vocabulary).orderBy("start").collect()
