@@ -12,12 +12,13 @@ Steps (no step emits a group's pairs, or gathers a group in a task or the driver
   2. ROWS coordinates make a band; nodes that share a band's value share a bucket;
   3. every node is checked exactly against the lowest node of each of its buckets;
   4. components of the links so found; in buckets that still hold two components the nodes of different ones
-     are all compared, in blocks of about BLOCK nodes a side, each task emitting only links that join components;
+     are all compared, in blocks of about BLOCK nodes or BLOCK_WEIGHT shingles a side, each task emitting only links
+     that join components;
   5. components again. With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket once in 300,000.
 
 Cases: a null text is in no group (its own class); empty texts and texts of white space only equal copies
-of themselves; repeated rows are copies; ties are broken by the lowest doc_id (null last); an empty table
-gives an empty result; extra columns are ignored by near_duplicates() and kept by drop_near_duplicates().
+of themselves; repeated rows are copies; ties are broken by the lowest doc_id (null last; ids may be of any type
+with an order); an empty table gives an empty result; extra columns are ignored by near_duplicates() and kept by drop_near_duplicates().
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from factloom.llm.common import mix, packed, staged, text_slices, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
-BLOCK = 256
+#: Nodes and shingles of one side of a comparison; a single text may have more of the latter.
+BLOCK, BLOCK_WEIGHT = 256, 200_000
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = SHINGLE):
@@ -140,7 +142,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 )
 
     # An empty text, like any without a word, has no shingle; it only equals its copies.
-    return docs.mapInArrow(run, "doc_id long, key string, weight long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, weight long, bands array<long>")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -191,7 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 
 
 def _whole_buckets(members: DataFrame, texts: DataFrame, similar: float, bands: int) -> DataFrame:
-    """Links (a, b) between different roots in the same bucket of members (bucket, node, root).
+    """Links (a, b) between different roots in the same bucket of members (bucket, node, weight, root).
 
     A bucket's largest component needs no comparison in itself. It and the rest are each cut into blocks of about
     BLOCK nodes by a hash; every block of the rest meets every block of the largest, and every other block of the
@@ -199,12 +201,13 @@ def _whole_buckets(members: DataFrame, texts: DataFrame, similar: float, bands:
     that meets in several buckets is compared in its first one. A task keeps a union-find over its group and emits
     a link only where it joins two components.
     """
-    per_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    sizes = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).select(
+    per_root = members.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK), w / F.lit(BLOCK_WEIGHT)))
+    sizes = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).select(
         "bucket", F.col("top.root").alias("top"),
-        F.ceil(F.col("top.n") / F.lit(BLOCK)).alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / F.lit(BLOCK)).alias("rests"),
+        blocks(F.col("top.n"), F.col("top.w")).alias("tops"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("rests"),
     )
-    mine = members.join(sizes, "bucket").withColumn("in_top", F.col("root") == F.col("top"))
+    mine = members.drop("weight").join(sizes, "bucket").withColumn("in_top", F.col("root") == F.col("top"))
     mine = mine.withColumn("i", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("in_top"), F.col("tops")).otherwise(F.col("rests"))))
     zero = F.lit(0).cast("long")
     group = lambda kind, x, y, left: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(left).alias("is_left"))
@@ -281,15 +284,15 @@ def _key(text: Column) -> Column:
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, class, class_id, class_docs, class_texts) for each distinct text: key is md5(text), class a number of
     this run, class_id the class's lowest doc_id."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), _key(F.col("text")).alias("key")).where("text is not null")
+    keyed = docs.select("doc_id", F.col("text").alias("text"), _key(F.col("text")).alias("key")).where("text is not null")
     signed = staged(_signed(keyed, bands, rows), "signed")
     per_text = signed.groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("bands").alias("bands")
     )
     nodes = staged(per_text.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.where("weight > 0").select("node", F.explode("bands").alias("bucket"))
+    banded = nodes.where("weight > 0").select("node", "weight", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    meeting = staged(banded.join(buckets, "bucket").select("bucket", "node", "low"), "meeting")
+    meeting = staged(banded.join(buckets, "bucket").select("bucket", "node", "weight", "low"), "meeting")
     pairs = meeting.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     wanted = meeting.select("node").distinct().join(nodes.select("node", "key", "doc_id", "weight", "bands"), "node")
     texts = staged(
@@ -297,7 +300,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     )
     links = staged(_verified(pairs, texts.select("node", "text"), similar), "links")
     first = _components(links)
-    named = meeting.join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    named = meeting.join(first, "node", "left").select("bucket", "node", "weight", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     # In a bucket of two nodes the only pair has been checked already.
     open_buckets = mixed.where("n > 2").select("bucket")
@@ -315,7 +318,7 @@ def op3_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = staged(near_duplicates(docs), "classes")
     return (
         docs.select("doc_id", _key(F.col("text")).alias("key")).join(classes, "key", "left")
-        .select("doc_id", F.coalesce("class_id", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("class_docs", F.lit(1)).alias("class_docs"), F.coalesce("class_texts", F.lit(1)).alias("class_texts"))
+        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_docs", F.lit(1)).alias("class_docs"), F.coalesce("class_texts", F.lit(1)).alias("class_texts"))
     )
 
 
@@ -329,3 +332,22 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rest = kept.where("key is null").select("_doc.*")
     first = kept.where(F.col("key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["class"])
     return rest.unionByName(first.select("_doc.*"))
+
+
+def oracle() -> str:
+    """All pairs of texts that share a shingle, by their exact weighted Jaccard, and the classes that links reach."""
+    return r"""
+WITH RECURSIVE texts AS (SELECT text, row_number() OVER () AS id FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+split AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+shingles AS (SELECT id, s, count(*) AS c FROM (
+  SELECT id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT id, w, least(len(w), 5) AS k FROM split WHERE len(w) > 0))) GROUP BY ALL),
+weights AS (SELECT id, sum(c) AS n FROM shingles GROUP BY id),
+shared AS (SELECT x.id AS a, y.id AS b, sum(least(x.c, y.c)) AS m FROM shingles x JOIN shingles y ON x.s = y.s AND x.id < y.id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN weights x ON x.id = a JOIN weights y ON y.id = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, other) AS (SELECT id, id FROM texts UNION SELECT reached.id, b FROM reached JOIN both_ways ON other = a),
+roots AS (SELECT id, min(other) AS root FROM reached GROUP BY id),
+rooted AS (SELECT doc_id, text, id, root FROM documents JOIN texts USING (text) JOIN roots USING (id)),
+classes AS (SELECT root, min(doc_id) AS class_id, count(*) AS class_docs, count(DISTINCT id) AS class_texts FROM rooted GROUP BY root)
+SELECT doc_id, class_id, class_docs, class_texts FROM rooted JOIN classes USING (root)
+UNION ALL SELECT doc_id, doc_id, 1, 1 FROM documents WHERE text IS NULL"""

@@ -213,6 +213,14 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
         assert got == brute_classes(list(range(len(texts))), texts)
 
 
+def test_near_duplicates_in_blocks_of_few_shingles_and_with_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_WEIGHT", 300)
+    texts = near_texts(15, 40)
+    d = docs(spark, texts).withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    got = {r.doc_id: r.class_id for r in neardup.op3_near_duplicates(d).collect()}
+    assert got == brute_classes([f"d{i:05d}" for i in range(len(texts))], texts)
+
+
 def test_signatures_agree_as_often_as_sets_overlap():
     rng = np.random.default_rng(6)
     element = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
