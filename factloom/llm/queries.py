@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat, neardup, quality
+from factloom.llm import chat, mixing, neardup, quality
 from factloom.llm.chat import op7_chat
 from factloom.llm.common import table
 from factloom.llm.decontaminate import op9_decontamination
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Only what SQL expresses; tests/llm holds the others against brute force."""
-    return {"op1_quality": quality.oracle(), "op3_minhash": neardup.oracle(), "op7_chat": chat.oracle(), "op9_decontamination": OP9_SQL}
+    return {"op1_quality": quality.oracle(), "op3_minhash": neardup.oracle(), "op7_chat": chat.oracle(), "op8_mixing": mixing.oracle(), "op9_decontamination": OP9_SQL}

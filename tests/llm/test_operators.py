@@ -663,6 +663,53 @@ def test_each_pass_takes_every_block_once(spark):
         assert all(r.n == blocks and r.m == blocks - 1 for r in got)
 
 
+def test_permutation_of_very_many_blocks(spark):
+    """At 10**11 blocks: no overflow, no block twice, and the last block where it should be."""
+    blocks = 10**11
+    rng = random.Random(40)
+    places = sorted({rng.randrange(2 * blocks) for _ in range(2000)} | set(range(50)) | set(range(blocks - 25, blocks + 25)))
+    df = spark.createDataFrame([(j,) for j in places], "j long")
+    n, rank = F.lit(blocks).cast("long"), F.lit(3).cast("long")
+    rows = df.select("j", mixing._permuted(F.col("j"), n, rank).alias("b"), mixing._turn(F.col("j"), n).alias("t"), mixing._draw("prime", rank, mixing._turn(F.col("j"), n)).alias("p"), mixing._short_slot(mixing._turn(F.col("j"), n), n, rank).alias("s")).collect()
+    assert len({(r.t, r.b) for r in rows}) == len(places)
+    assert all(r.t == r.j // blocks and r.b == (mixing.PRIMES[r.p % 4] * (r.j % blocks - r.s) - 1) % blocks for r in rows)
+
+
+def test_a_mix_meets_its_targets_to_a_word_in_shards_of_one_size(spark):
+    rows, d = mixed_fixture(spark)
+    sizes = d.select(F.col("doc_id").alias("row"), "doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"))
+    documents, pieces = mixing.mix(sizes, block=16, shard_slots=40)
+    pieces = staged_once(pieces)
+    target = {r["rank"]: r.target for r in documents.select("rank", "target").distinct().collect()}
+    got = {r["rank"]: r.n for r in pieces.groupBy("rank").agg(F.sum("n").alias("n")).collect()}
+    assert got == {k: int(t + 0.5) for k, t in target.items()}
+    slots = pieces.select("shard", "place", "rank", "slot").distinct().collect()
+    shards = Counter(r.shard for r in slots)
+    last = max(shards)
+    assert all(shards[s] == 40 for s in range(last)) and 0 < shards[last] <= 40 and len({(r.shard, r.place) for r in slots}) == len(slots)
+    totals = Counter(r["rank"] for r in slots)
+    # Each shard's counts are near the sources' shares of all slots: within five standard deviations.
+    for s in range(last):
+        for rank, n in totals.items():
+            p = n / len(slots)
+            mine = sum(r.shard == s and r["rank"] == rank for r in slots)
+            assert abs(mine - 40 * p) <= 5 * (40 * p * (1 - p)) ** 0.5
+    # No word of a document is taken twice in a pass.
+    for r in pieces.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("s")).collect():
+        assert all(a.first + a.n <= b.first for a, b in zip(r.s, r.s[1:], strict=False))
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, prose(random.Random(i), n), "en", s, 0) for i, (s, n) in enumerate([("a", 3), ("b", 1), ("c", 700), ("d", 300), ("d", 1)])]
+    got = Counter()
+    want = {}
+    for r in mixing.op8_mixing(spark.createDataFrame(rows, DOCS)).collect():
+        got[rows[r.doc_id][3]] += r.taken
+        want[rows[r.doc_id][3]] = r.target
+        assert r.taken <= 2 * r.size
+    assert got == Counter({s: int(t + 0.5) for s, t in want.items()})
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows, d = mixed_fixture(spark)
     out = mixing.mix_documents(d).collect()
