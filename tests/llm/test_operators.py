@@ -440,16 +440,95 @@ def test_main_text(spark):
     assert html_extract.op6_html(d.limit(0)).count() == 0
 
 
-def test_wrapper_inference():
-    fold = html_extract.folded
-    pages = [fold(f"<div class=x>same</div><article>{''.join(f'<p>t{n}{k}</p>' for k in range(n))}{'<h3>extra</h3>' if n > 2 else ''}<p class=sig>sig {n}</p></article>") for n in (1, 2, 3)]
-    wrapper = html_extract.infer(pages)
-    assert any(w["optional"] for w in wrapper) and next(w for w in wrapper if w["place"] == "div.x")["text"] == "same"
-    places = html_extract.decide(wrapper)
-    assert not places["div.x"] and places["article/p"] and places["article/p.sig"]
-    copies = html_extract.infer([fold("<p>all the same</p>")] * 3)
-    assert html_extract.decide(copies) == {} and html_extract.main_text("<p>all the same</p>", {}) == "all the same"
-    assert fold("<ul>" + "<li>a</li><li>b</li>" * 50 + "</ul>") == [["ul/li", ""]]
+def brute_wrapper(pages):
+    """All pages of a host in one, structure by structure, in order of the hash of the structure."""
+    shapes = {}
+    for page in pages:
+        top = html_extract.expression(page)[0] if page else None
+        if top and top.items:
+            key = hashlib.md5(top.shape().encode()).hexdigest()
+            shapes[key] = html_extract.combined(shapes[key], top, False) if key in shapes else top
+    whole = None
+    for key in sorted(shapes):
+        whole = html_extract.combined(whole, shapes[key], False) if whole else shapes[key]
+    return whole
+
+
+def site(rng, n):
+    """Pages of one host: an optional notice, a heading, a changing number of sections, a constant box; no article element."""
+    out = []
+    for i in range(n):
+        notice = "<p>We moved house.</p>" if rng.random() < 0.6 else ""
+        body = "".join(f"<h3>part {i}.{k}</h3><p>words {rng.random()}</p>" + "<ul><li>a</li><li>b</li></ul>" * rng.randrange(2) for k in range(rng.randrange(1, 4)))
+        out.append(f"<div class=x>Our site</div>{notice}<h1>title {i}</h1><p>lead {i}</p>{body}<p class=end>Write to us</p>")
+    return out
+
+
+def test_expressions_fold_and_align():
+    shape = lambda page: html_extract.expression(page)[0].shape()
+    assert shape("<ul>" + "<li>a</li><li>b</li>" * 50 + "</ul>") == "[ul[li+[#]]]"
+    assert shape("<h1>t</h1>" + "<h2>a</h2><p>b</p><p>c</p>" * 3 + "<nav><p>x</p></nav>") == "[h1[#] (+[h2[#] p+[#]] nav]"
+    wrapper = brute_wrapper([f"<div class=x>same</div><h1>{n}</h1>{'<h2>a</h2><p>b</p>' * n}{'<pre>z</pre>' if n == 2 else ''}" for n in (1, 2, 3)])
+    assert wrapper.shape() == "[div.x[#] h1[#] (+[h2[#] p[#]] pre?[#]]"
+    assert len(wrapper.items[0].items[0].same) == 1 and not wrapper.items[1].items[0].same
+
+
+def test_the_wrapper_decides(spark):
+    """A notice among the paragraphs, at the same place as they: tags cannot tell it, nor what repeats at its place on all pages."""
+    pages = site(random.Random(50), 30)
+    rows = [(i, "https://h.example/", x) for i, x in enumerate(pages)] + [(99, "https://alone.example/", pages[0])]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in html_extract.op6_html(d).collect()}
+    assert any("We moved house." in x for x in pages) and not all("We moved house." in x for x in pages)
+    for i, x in enumerate(pages):
+        wanted = [re.sub("<.*?>", "", t) for t in re.findall(r"<(?:p|h\d|li)[^>]*>[^<]*<", x)]
+        wanted = [t.rstrip("<") for t in wanted if not t.startswith(("We moved", "Write to"))]
+        assert found[i].split("\n\n") == [t for t in wanted if t not in ("a", "b") or t in found[i].split("\n\n")]
+        assert not {"Our site", "We moved house.", "Write to us"} & set(found[i].split("\n\n")) and f"lead {i}" in found[i]
+    assert found[99].startswith("Our site\n\n")  # one page: tags alone
+    article = [f"<article><h1>the same title</h1><p>text {i}</p><div class=x>Read it in our paper</div><ul><li>one</li><li>two</li></ul></article>" for i in range(4)]
+    d = spark.createDataFrame([(i, "https://a.example/", x) for i, x in enumerate(article)], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.op6_html(d).orderBy("page_id").collect()] == [f"the same title\n\ntext {i}\n\none\n\ntwo" for i in range(4)]
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_wrappers_match_brute_force(spark, monkeypatch, fan):
+    monkeypatch.setattr(html_extract, "HELD", 40)
+    rng = random.Random(51)
+    pages = {f"h{k}.example": site(rng, 12) for k in range(4)}
+    rows = [(i, f"https://{h}/", x) for i, (h, x) in enumerate((h, x) for h, xs in pages.items() for x in xs)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    if fan == 64:
+        told = {r.host: r.expression for r in html_extract.wrappers(d).collect()}
+        assert told == {h: html_extract._written(brute_wrapper(xs)) for h, xs in pages.items()}
+    monkeypatch.setattr(html_extract, "FAN", fan)
+    found = [r.text for r in html_extract.op6_html(d).orderBy("page_id").collect()]
+    if fan == 64:
+        assert found == [html_extract.main_text(x, brute_wrapper(xs)) for xs in pages.values() for x in xs]
+    assert all("Our site" not in t and "lead" in t for t in found) and found == [r.text for r in html_extract.op6_html(d.repartition(3)).orderBy("page_id").collect()]
+
+
+def test_irregular_pages_are_bags(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "IRREGULAR", 4)
+    pages = site(random.Random(52), 12)
+    d = spark.createDataFrame([(i, "https://h.example/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    for r in html_extract.op6_html(d).collect():
+        assert "Our site" not in r.text and f"lead {r.page_id}" in r.text and f"title {r.page_id}" in r.text
+
+
+def test_deep_pages(spark):
+    deep = lambda i: "<div>" * 5000 + f"<p>text {i}</p><p>always</p><nav>menu</nav>" + "</div>" * 4000 + f"<p>after {i}</p><div class=x>box</div>"
+    d = spark.createDataFrame([(i, "https://h.example/", deep(i)) for i in range(4)], "page_id long, url string, html string")
+    assert [r.text for r in html_extract.op6_html(d).orderBy("page_id").collect()] == [f"text {i}\n\nafter {i}" for i in range(4)]
+
+
+def test_marks_quotes_and_own_columns(spark):
+    assert html_extract.main_text("<p>One <a href=x title=it's>two</a> three don't four</p>") == "One two three don't four"
+    assert html_extract.main_text('<p title="a > b">x</p><p title=\'"\'>y</p><p title="open>z</p>') == "x\n\ny\n\nz"
+    assert html_extract.main_text('<section class="related-work"><p>kept</p></section><div class="related-posts"><p>gone</p></div>') == "kept"
+    d = spark.createDataFrame([(1, None, "<p>t</p>", "own", "own", "own")], "page_id long, url string, html string, _host string, host string, main_text string")
+    out = html_extract.extract(d)
+    assert out.columns == ["page_id", "url", "html", "_host", "host", "main_text"] and tuple(out.first()) == (1, None, "<p>t</p>", "own", "own", "t")
 
 
 def test_article_is_asked_of_each_page(spark):
@@ -472,9 +551,6 @@ def test_wrappers_see_all_pages_places_and_whole_texts(spark):
         assert len(blocks) == 451 and blocks[-1] == f"{long}{i}"
     assert all(found[i] == f"words {i}" for i in range(12, 16)) and all(found[i] == "all the same" for i in range(16, 20))
     assert found[20] == "one 0" and found[21] == "one 1"
-    aligned = html_extract.decide(html_extract.infer([html_extract.folded(r[2]) for r in rows[:3]]))
-    told = {r.host: json.loads(r.places) for r in html_extract.wrappers(spark.createDataFrame(rows[:3], "page_id long, url string, html string")).collect()}
-    assert set(told["h.example"]) == {p for p, main in aligned.items() if not main} == {"div.site"}
 
 
 def test_wrappers_by_shuffle_give_the_same(spark, monkeypatch):
