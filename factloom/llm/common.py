@@ -20,10 +20,12 @@ _written: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="factloom-"))
     return _own_scratch[0]
