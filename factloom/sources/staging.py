@@ -11,10 +11,12 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="factloom-"))
     return _own[0]
