@@ -156,7 +156,11 @@ def _slots(sources: DataFrame, block: int) -> DataFrame:
     passes = passes.withColumn("mine", mine).where("mine > 0").withColumn("many", F.least(F.col("blocks"), F.ceil(F.col("mine") / length) + 1))
     # A pass's slots are counted out in chunks, dealt to all tasks before each grows into its rows.
     chunk = F.lit(SLOTS_PER_CHUNK).cast("long")
-    chunks = passes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / chunk)))).repartition("rank", "turn", "chunk")
+    passes = passes.withColumn("last", F.floor((F.col("many") - 1) / chunk))
+    total = passes.agg(F.coalesce(F.sum(F.col("last") + 1), F.lit(1))).first()[0]
+    # A number of tasks by the rows to come: by the few bytes of the chunks Spark would deal them to one.
+    tasks = min(-(-total // 64), max(200, -(-total // 4096)))
+    chunks = passes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).repartition(tasks, "rank", "turn", "chunk")
     places = F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("many"), (F.col("chunk") + 1) * chunk) - 1)).alias("j")
     lacking = F.col("blocks") * length - F.col("source_size")
     slots = chunks.select("*", places).withColumn("slot", F.col("turn") * F.col("blocks") + F.col("j"))
