@@ -188,12 +188,13 @@ def op8_mixing(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, in_shards: bool = False) -> DataFrame:
     """The mix as documents in their own columns: a row for each document and pass that takes words of it.
 
     Its text is those words in their order with the white space after each kept; n_chars, where it is a
-    column, is that text's length. A document's words come at most twice, so it has at most two rows. Rows lie in the order
-    of the shard and place of their first words, whole shards in a partition.
+    column, is that text's length. A document's words come at most twice, so it has at most two rows. With in_shards
+    rows lie in the order of the shard and place of their first words, whole shards in a partition; that shuffles the texts
+    once more, in vain where the next step sorts by something else.
     """
     numbered = staged(packed(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
     rows = numbered.select("row", "_doc.doc_id", "_doc.source", word_count(F.col("_doc.text")).alias("size"))
@@ -211,7 +212,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     out = whole.select("_doc", "at", cut.alias("cut")).withColumn("_doc", F.col("_doc").withField("text", F.col("cut")))
     if "n_chars" in docs.columns:
         out = out.withColumn("_doc", F.col("_doc").withField("n_chars", F.char_length("cut").cast(docs.schema["n_chars"].dataType)))
-    return out.repartition("at.shard").sortWithinPartitions("at.shard", "at.place", "_doc.doc_id").select("_doc.*")
+    if in_shards:
+        out = out.repartition("at.shard").sortWithinPartitions("at.shard", "at.place", "_doc.doc_id")
+    return out.select("_doc.*")
 
 
 def oracle() -> str:

@@ -795,6 +795,7 @@ def test_mixed_documents_hold_the_words_taken(spark):
         words[r.doc_id] += len(r.text.split())
         assert r.n_chars == len(r.text) and set(r.text.split()) <= set(rows[r.doc_id][1].split())
     assert words == Counter({i: n for i, n in taken.items() if n})
+    assert sorted(mixing.mix_documents(d, in_shards=True).collect()) == sorted(out)
     draws = mixing.shard_counts(mixing.mix(d.select(F.col("doc_id").alias("row"), "doc_id", "source", F.lit(100).cast("long").alias("size")))[1])
     assert draws.count() > 0
 
