@@ -24,7 +24,7 @@ def transitive_subtypes(hierarchy: DataFrame, start: str, most: int | None = Non
         first = near.groupBy("subtype").agg(F.min(F.struct("rank", "source_unit_id", "supertype")).alias("m")).select("subtype", "m.*")
         # Positions inside a level come from a sort whose partitions are numbered, not from one task's window.
         ordered = staged(first.sort("rank", "source_unit_id", "subtype").withColumn("part", F.spark_partition_id()), "level")
-        placed = staged(_positions(ordered, ["rank", "source_unit_id", "subtype"], base), "level")
+        placed = staged(positions(ordered, ["rank", "source_unit_id", "subtype"], base), "level")
         n = placed.count()
         if not n:
             break
@@ -39,7 +39,7 @@ def transitive_subtypes(hierarchy: DataFrame, start: str, most: int | None = Non
     return out
 
 
-def _positions(ordered: DataFrame, order: list[str], base: int) -> DataFrame:
+def positions(ordered: DataFrame, order: list[str], base: int) -> DataFrame:
     """ordered (with part, the number of its sorted partition) with position: 1-based over all, plus base."""
     from pyspark.sql.window import Window as W
 

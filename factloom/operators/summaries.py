@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from factloom.answer import freshness_rollup, state_rollup
 from factloom.functions.digest import entries, fingerprint
+from factloom.operators.graph import positions
+from factloom.sources.staging import staged
 
 
 def unit_states(persisted: DataFrame, current: DataFrame) -> DataFrame:
@@ -115,14 +117,21 @@ def type_displays(types: DataFrame) -> DataFrame:
 
 
 def symbol_ordinals(symbols: DataFrame, block: int = 256) -> DataFrame:
-    """symbols with ordinal (from 0 over a unit, in place order) and the detail block it falls in."""
-    place = W.partitionBy("source_unit_id").orderBy("name_start", "symbol_id")
-    return symbols.withColumn("ordinal", F.row_number().over(place) - 1).withColumn("block", F.floor(F.col("ordinal") / block))
+    """symbols with ordinal, from 0 and running on over all units in order, and the detail block of its unit it falls in.
+
+    Numbers come from a sort whose partitions are counted, so no task holds a unit or all symbols.
+    """
+    order = ["source_unit_id", "name_start", "symbol_id"]
+    ordered = staged(symbols.sort(*order).withColumn("part", F.spark_partition_id()), "symbols")
+    placed = positions(ordered, order, -1).withColumnRenamed("position", "ordinal")
+    first = placed.groupBy("source_unit_id").agg(F.min("ordinal").alias("_first"))
+    return placed.join(first, "source_unit_id").withColumn("block", F.floor((F.col("ordinal") - F.col("_first")) / block)).drop("_first")
 
 
 def common_values(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, value): a group's value if all its rows have the same, else null."""
-    return rows.groupBy(key).agg(F.when(F.count_distinct(column) == 1, F.min(column)).alias("value"))
+    """(key, value): a group's value if all its rows have the same, else null; a null is a value of its own."""
+    same = (F.count_distinct(column) == 1) & (F.count(column) == F.count("*"))
+    return rows.groupBy(key).agg(F.when(same, F.min(column)).alias("value"))
 
 
 def interned(rows: DataFrame, column: str, least: int = 3, octets: int = 8) -> DataFrame:

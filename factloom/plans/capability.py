@@ -81,8 +81,21 @@ BUILTIN = (
 )
 
 
+def _within(candidates: DataFrame, budget: Budget) -> None:
+    """Refuse candidates beyond the budget; at most one row more than it is looked at."""
+    units = F.count_distinct("source_unit_id") if "source_unit_id" in candidates.columns else F.lit(0)
+    told = candidates.limit(budget.candidates + 1).agg(F.count("*").alias("n"), units.alias("units")).first()
+    if told.n > budget.candidates:
+        raise CapabilityError("candidate input exceeds the budget")
+    if told.units > budget.nodes:
+        raise CapabilityError("source input exceeds the budget")
+
+
 def execute(capability: Capability, facts: Mapping[str, DataFrame], candidates: DataFrame, given: dict[str, object], budget: Budget) -> tuple[str, list[str]]:
-    """(state, symbol ids sorted) under the budget; the jobs are cancelled at the deadline."""
+    """(state, symbol ids sorted) under the budget; the jobs are cancelled at the deadline.
+
+    More candidates or source units than the budget are refused before the capability runs, never cut.
+    """
     budget.checked()
     spark = candidates.sparkSession
     tag = f"capability-{uuid.uuid4().hex}"
@@ -91,8 +104,10 @@ def execute(capability: Capability, facts: Mapping[str, DataFrame], candidates:
     spark.sparkContext.addJobTag(tag)
     timer.start()
     try:
-        bounded = candidates.limit(budget.candidates)
-        rows = capability.run(facts, bounded, given).limit(budget.candidates + 1).collect()
+        _within(candidates, budget)
+        rows = capability.run(facts, candidates, given).limit(budget.candidates + 1).collect()
+    except CapabilityError:
+        raise
     except Exception as e:
         if time.monotonic() - began >= budget.millis / 1000:
             raise CapabilityError("deadline exceeded") from e

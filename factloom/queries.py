@@ -290,7 +290,10 @@ _add(
     "SELECT source_unit_id, 'sha256:' || sha256(string_agg(kind || '|' || coalesce(qualified_name, name) || '|' || chr(0), '' ORDER BY kind || '|' || coalesce(qualified_name, name) || '|')) AS public_api_fp FROM f_symbols WHERE len(modifiers) = 0 GROUP BY source_unit_id",
 )(lambda f: summaries.public_api(f["symbols"].withColumn("signature", F.lit(None).cast("string"))))
 _add("type_displays", "SELECT DISTINCT display FROM f_types")(lambda f: summaries.type_displays(f["types"]))
-_add("common_values", "SELECT source_unit_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) END AS value FROM f_symbols GROUP BY source_unit_id")(lambda f: summaries.common_values(f["symbols"], "source_unit_id", "language"))
+_add("common_values", "SELECT source_unit_id, CASE WHEN count(DISTINCT language) = 1 AND count(language) = count(*) THEN min(language) END AS value FROM f_symbols GROUP BY source_unit_id")(lambda f: summaries.common_values(f["symbols"], "source_unit_id", "language"))
+_add("common_owners", "SELECT language AS kind, CASE WHEN bool_and(owner IS NOT NULL) AND min(owner) = max(owner) THEN min(owner) END AS value FROM f_symbols GROUP BY language")(
+    lambda f: summaries.common_values(f["symbols"].withColumnRenamed("kind", "_k").withColumn("kind", F.col("language")), "kind", "owner")
+)
 _add("interned", "SELECT component_id AS value, count(*) AS n FROM f_symbols WHERE strlen(component_id) >= 8 GROUP BY component_id HAVING count(*) >= 3")(lambda f: summaries.interned(f["symbols"], "component_id"))
 _add("component_context", "SELECT component_id, 'sha256:' || sha256(string_agg(workspace_path || chr(0) || fingerprint || chr(0), '' ORDER BY workspace_path)) AS context_fp FROM f_in_now GROUP BY component_id")(lambda f: summaries.component_context(f["current_inputs"]))
 _add("fan_out", "SELECT 'part:' || p_partkey AS target, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'ok' ELSE 'no_result' END AS status FROM part LEFT JOIN (SELECT target, count(*) AS n FROM f_refs GROUP BY target) ON target = 'part:' || p_partkey WHERE p_partkey % 50 = 0")(
@@ -326,7 +329,7 @@ FROM f_symbols i JOIN f_symbols o ON i.source_unit_id = o.source_unit_id AND o.d
         f["symbols"].select("source_unit_id", F.col("decl_start").alias("start_byte"), F.col("decl_end").alias("end_byte")),
     )
 )
-_add("ordinals", "SELECT symbol_id, row_number() OVER (PARTITION BY source_unit_id ORDER BY name_start, symbol_id) - 1 AS ordinal FROM f_symbols")(lambda f: summaries.symbol_ordinals(f["symbols"]).select("symbol_id", F.col("ordinal").cast("long").alias("ordinal")))
+_add("ordinals", "SELECT symbol_id, row_number() OVER (ORDER BY source_unit_id, name_start, symbol_id) - 1 AS ordinal FROM f_symbols")(lambda f: summaries.symbol_ordinals(f["symbols"]).select("symbol_id", F.col("ordinal").cast("long").alias("ordinal")))
 _add("detail_blocks", "SELECT source_unit_id, block, count(*) AS n FROM (SELECT source_unit_id, ((row_number() OVER (PARTITION BY source_unit_id ORDER BY name_start, symbol_id) - 1) // 16)::BIGINT AS block FROM f_symbols) GROUP BY source_unit_id, block")(
     lambda f: summaries.symbol_ordinals(f["symbols"], 16).groupBy("source_unit_id", "block").agg(F.count("*").alias("n"))
 )

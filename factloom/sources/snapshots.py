@@ -79,17 +79,41 @@ def decode(snapshots: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     return units, tables
 
 
+def _span(a: str, b: str) -> Column:
+    return F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("start"), F.col(b).alias("end")))
+
+
+def _named(*names: str, **other: Column | str) -> list[Column]:
+    return [*(F.col(n) for n in names), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in other.items())]
+
+
+#: Fact tables beside occurrences and edges: (field, its values but for the provenance, their order).
+_PARTS = {
+    "symbols": ("symbols", lambda: _named(
+        "language", "kind", "name", "qualified_name", "signature", "owner", "modifiers", "applied_symbols", "freshness", "completeness",
+        id="symbol_id", declaration=_span("decl_start", "decl_end"), name_range=_span("name_start", "name_end")), ["name_start", "symbol_id"]),
+    "hierarchy_edges": ("hierarchy", lambda: _named("subtype", "supertype", "precision"), ["subtype", "supertype"]),
+    "applications": ("applications", lambda: _named("subject", "target", "arguments", "precision", "freshness", "completeness", id="application_id", range=_span("start_byte", "end_byte")), ["start_byte", "application_id"]),
+    "types": ("types", lambda: _named("language", "display", "freshness", "completeness", id="type_id"), ["type_id"]),
+    "diagnostics": ("diagnostics", lambda: _named("severity", "code", "message", "freshness", "completeness", range=_span("start_byte", "end_byte")), ["start_byte", "message"]),
+}
+
+
 def encode(units: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     """Snapshots in the shape that read() takes: one row a unit, the provenance dictionary and occurrence positions.
 
-    The dictionary is the unit's own provenance and then the others' in order; an edge names its occurrence's place.
+    The dictionary is the unit's own provenance and then the others' in order; an edge names its occurrence's place. All
+    tables that decode() gives go in: tables that are not given are left out.
     """
     prov = "STRUCT<backend:STRING,backend_version:STRING,protocol_version:INT,analysis_options:STRING>"
     state = lambda: [F.col("freshness").alias("freshness"), F.col("completeness").alias("completeness")]
     span = lambda a, b: F.struct(F.col(a).alias("start"), F.col(b).alias("end"))
     place = F.struct("start_byte", "end_byte", "kind", F.coalesce("target", F.lit("")).alias("t"))
     occ = facts["occurrences"]
-    used = occ.select("source_unit_id", "provenance").unionByName(units.select("source_unit_id", "provenance")).where("provenance is not null")
+    used = units.select("source_unit_id", "provenance")
+    for name in ("occurrences", *_PARTS):
+        used = used.unionByName(facts[name].select("source_unit_id", "provenance")) if name in facts else used
+    used = used.where("provenance is not null")
     others = used.groupBy("source_unit_id").agg(F.array_sort(F.collect_set("provenance")).alias("all"))
     base = units.join(others, "source_unit_id", "left").withColumn("provenances", F.concat(F.array(F.col("provenance").cast(prov)), F.array_except(F.coalesce("all", F.array().cast(f"array<{prov}>")), F.array("provenance"))))
     listed = occ.groupBy("source_unit_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), F.struct(span("start_byte", "end_byte").alias("range"), "kind", "enclosing_symbol", "target", "type_id", "precision", *state(), "provenance").alias("o")))).alias("occ"))
@@ -105,6 +129,16 @@ def encode(units: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     edge = lambda name: F.transform(name, lambda e: e.dropFields("place").withField("occurrence", (F.array_position(places, e["place"]) - 1).cast("int")))
     unit = F.struct(F.col("source_unit_id").alias("id"), F.col("component_id").alias("component"), F.col("workspace_path").alias("path"), "language", "origin", F.col("content_fp").alias("content"), F.col("context_fp").alias("context"))
     edges = [edge(n).alias(n) for n in ("references", "calls") if n in out.columns]
+    for name, (field, value, order) in _PARTS.items():
+        if name in facts:
+            rows = facts[name]
+            if name == "applications":
+                given = F.array_sort(F.collect_list(F.struct("position", "name", "value_kind", "value_text")))
+                arguments = F.transform(given, lambda a: F.struct(a["name"].alias("name"), a["position"].alias("position"), a["value_kind"].alias("value_kind"), a["value_text"].alias("value_text")))
+                rows = rows.join(facts["application_arguments"].groupBy("application_id").agg(arguments.alias("arguments")), "application_id", "left")
+            parts = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*value(), F.col("provenance")).alias("v"))))
+            out = out.join(rows.groupBy("source_unit_id").agg(parts.alias(field)), "source_unit_id", "left")
+            edges.append(F.transform(field, lambda x: x["v"].withField("provenance", index(x["v"]["provenance"]))).alias(field))
     return out.select(unit.alias("source_unit"), F.col("public_api_fp").alias("public_api_fingerprint"), "completeness", "provenances", plain.alias("occurrences"), *edges)
 
 

@@ -123,8 +123,9 @@ class Store:
         """Applications of units, whose arguments leave with them."""
         return self.table("applications").join(ids, "source_unit_id", "left_semi").select("application_id")
 
-    def replace_snapshots(self, expected: DataFrame, units: DataFrame, facts: dict[str, DataFrame]) -> int:
-        """Replace all facts of units by facts, all or nothing; expected says which contents may come.
+    def replace_snapshots(self, expected: DataFrame, units: DataFrame, facts: dict[str, DataFrame], gone: DataFrame | None = None) -> int:
+        """Replace all facts of units by facts, all or nothing; expected says which contents may come. Units of gone
+        (source_unit_id) leave with the same commit.
 
         Written is what comes and the units' ids, not the tables.
         """
@@ -132,6 +133,7 @@ class Store:
 
         require_valid(expected, units, facts)
         ids = units.select("source_unit_id")
+        ids = ids.unionByName(gone.select("source_unit_id")).distinct() if gone is not None else ids
         if "symbols" in facts:  # an id is one unit's in the whole store
             held = self.table("symbols").join(ids, "source_unit_id", "left_anti").select("symbol_id")
             if clash := held.join(facts["symbols"].select("symbol_id"), "symbol_id", "left_semi").limit(1).collect():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 from dataclasses import dataclass, replace
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.digest import fingerprint
 from factloom.functions.text import utf8_state
-from factloom.functions.values import COMPONENT_FILES, CONFIGURATION_FILES, excluded, is_configuration, is_generated, language_of
+from factloom.functions.values import COMPONENT_FILES, CONFIGURATION_FILES, EXCLUDED_FOLDERS, excluded, is_configuration, is_generated, language_of
 from factloom.operators.ranges import deepest_component
 
 OWN_FOLDER = ".factloom"
@@ -21,14 +22,41 @@ MOST_BYTES = 1_048_576
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(workspace_path, byte_size, modified, content) of all regular files outside excluded folders.
 
-    Spark lists no empty files: they hold no terms and no facts.
+    Spark's reader passes over empty files and names that begin with a dot or an underscore; `unlisted` adds them.
     """
     plain = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(plain)
     bare = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
     base = "/" + plain.split(":", 1)[-1].strip("/") + "/" if ":" in plain[:10] else str(Path(plain).resolve()) + "/"
     named = raw.withColumn("workspace_path", F.substring(bare, F.lit(len(base) + 1), F.char_length(bare)))
-    return named.where(~excluded(F.col("workspace_path"), OWN_FOLDER)).select("workspace_path", F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified"), "content")
+    listed = named.select("workspace_path", F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified"), "content")
+    own = F.col("workspace_path") == f"{OWN_FOLDER}/config.toml"
+    return listed.unionByName(unlisted(spark, root)).where(own | ~excluded(F.col("workspace_path"), OWN_FOLDER))
+
+
+def unlisted(spark: SparkSession, root: str) -> DataFrame:
+    """The files that Spark's reader does not list, through Hadoop's file system: few beside the others, as .git and the like are
+    excluded. Of one over MOST_BYTES, which is no text, no more than MOST_BYTES + 1 bytes are read."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root if ":" in root[:10] else str(Path(root).resolve()))
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    rows, folders = [], [top]
+    while folders:
+        for status in fs.listStatus(folders.pop()):
+            path = status.getPath()
+            name = path.toUri().getPath()[len(base) :]
+            if status.isDirectory():
+                if path.getName() not in EXCLUDED_FOLDERS:
+                    folders.append(path)
+            elif status.getLen() == 0 or any(part[0] in "._" for part in name.split("/")):
+                stream = fs.open(path)
+                try:
+                    content = bytes(stream.readNBytes(MOST_BYTES + 1))
+                finally:
+                    stream.close()
+                rows.append((name, status.getLen(), datetime.fromtimestamp(status.getModificationTime() / 1000), content))
+    return spark.createDataFrame(rows, "workspace_path string, byte_size long, modified timestamp, content binary")
 
 
 def texts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

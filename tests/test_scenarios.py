@@ -550,6 +550,67 @@ def test_snapshots_are_encoded_and_decoded(spark, tmp_path):
         assert rows(again[name].select(*columns)) == rows(facts[name].select(*columns))
 
 
+def test_all_tables_are_encoded_and_decoded(spark, tmp_path):
+    one = snapshot("u1")
+    other = PROV | {"backend": "other"}
+    one["provenances"] = [PROV, other]
+    one["symbols"][0]["provenance"] = 1
+    one["types"] = [{"id": "u1.t", "language": "kotlin", "display": "List", "freshness": "fresh", "completeness": "partial", "provenance": 1}]
+    one["diagnostics"] = [{"range": {"start": 3, "end": 4}, "severity": "error", "code": "E1", "message": "m", "freshness": "fresh", "completeness": "complete", "provenance": 0}, {"severity": "warning", "message": "n", "freshness": "fresh", "completeness": "complete", "provenance": 1}]
+    units, facts = snapshots.decode(snapshots.read(spark, write(tmp_path / "in", one, snapshot("u2"))))
+    snapshots.encode(units, facts).write.json(f"file://{tmp_path}/out")
+    _, again = snapshots.decode(snapshots.read(spark, f"file://{tmp_path}/out"))
+    assert set(again) == set(facts)
+    for name, table in facts.items():
+        key = lambda r: json.dumps(r.asDict(True), sort_keys=True, default=str)
+        assert sorted(map(key, again[name].select(*table.columns).collect())) == sorted(map(key, table.collect())), name
+
+
+def test_the_last_snapshot_to_arrive_counts_and_a_batch_is_one_generation(spark, tmp_path):
+    folder = write(tmp_path / "in", snapshot("u1", "f9"), snapshot("u2", "f1"), snapshot("u1", "f1"), {"source_unit": {"id": "u2"}}, snapshot("u3"))
+    root = f"file://{tmp_path}/store"
+    ingest.stream(spark, folder, root, f"{tmp_path}/cp").awaitTermination()
+    store = Store(spark, root)
+    assert rows(store.source_units().select("source_unit_id", "content_fp")) == [("u1", "f1"), ("u3", "f1")]
+    before = store.generation["number"]
+    write(tmp_path / "in", {"source_unit": {"id": "u1"}}, snapshot("u2", "f5"))
+    ingest.stream(spark, folder, root, f"{tmp_path}/cp").awaitTermination()
+    assert rows(store.refresh().source_units().select("source_unit_id")) == [("u2",), ("u3",)] and store.generation["number"] == before + 1
+
+
+def test_hidden_and_empty_files_are_found(spark, tmp_path):
+    for name in (".npmrc", ".yarnrc.yml", "app/.mvn/maven.config", "app/_B.java", "app/A.java", "package.json", ".git/config", ".factloom/config.toml", ".factloom/x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"text of {name}")
+    (tmp_path / "empty.txt").write_text("")
+    found = {r.workspace_path: bytes(r.content).decode() for r in workspace.files(spark, str(tmp_path)).collect()}
+    wanted = [".npmrc", ".yarnrc.yml", "app/.mvn/maven.config", "app/_B.java", "app/A.java", "package.json", ".factloom/config.toml"]
+    assert found == {n: f"text of {n}" for n in wanted} | {"empty.txt": ""}
+    before = workspace.configuration_digest(workspace.files(spark, str(tmp_path))).first()[0]
+    (tmp_path / ".npmrc").write_text("changed")
+    assert workspace.configuration_digest(workspace.files(spark, str(tmp_path))).first()[0] != before
+
+
+def test_more_candidates_than_the_budget_are_refused(spark):
+    facts = make_facts(spark)
+    asked = []
+    one = capability.Capability("x", 1, {}, lambda f, c, g: asked.append(1) or c.select("symbol_id", "completeness"))
+    for budget in (capability.Budget(candidates=1, millis=30_000), capability.Budget(nodes=1, millis=30_000)):
+        with pytest.raises(capability.CapabilityError, match="input exceeds"):
+            capability.execute(one, facts, facts["symbols"].withColumn("source_unit_id", F.col("symbol_id")), {}, budget)
+    assert not asked
+
+
+def test_common_values_count_nulls_and_ordinals_run_on(spark):
+    from factloom.operators import summaries
+
+    df = spark.createDataFrame([("g", "a"), ("g", None), ("h", "a"), ("h", "a"), ("i", None)], "k string, v string")
+    assert sorted(tuple(r) for r in summaries.common_values(df, "k", "v").collect()) == [("g", None), ("h", "a"), ("i", None)]
+    symbols = spark.createDataFrame([(f"u{i % 3}", i, f"s{i}") for i in range(20)], "source_unit_id string, name_start long, symbol_id string")
+    found = summaries.symbol_ordinals(symbols, 4).orderBy("source_unit_id", "name_start").collect()
+    assert [r.ordinal for r in found] == list(range(20)) and [r.block for r in found if r.source_unit_id == "u1"] == [0, 0, 0, 0, 1, 1, 1]
+
+
 def test_positions_of_all_terms_agree_with_one_by_one(spark):
     df = spark.createDataFrame([("p", "one 😀 needle\ntwo é\n\n  x y"), ("q", "\n\nz"), ("r", "")], "k string, content string")
     one = text.terms(df, "k").join(df, "k").select("k", "term", "start_byte", text.position(F.col("content"), F.col("start_byte")).alias("p")).select("k", "term", "start_byte", "p.line", "p.column")
