@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.answer import Answer
+from factloom.schema import FactError
 
 
 def records(rows: DataFrame, status: str = "ok") -> DataFrame:
@@ -82,3 +83,19 @@ def within_budget(rows: DataFrame, key: str, budget: int) -> DataFrame:
 def shards(units: DataFrame) -> DataFrame:
     """(component_id, n): the units each component's shard takes."""
     return units.groupBy("component_id").agg(F.count("*").alias("n"))
+
+
+def shard_plan(units: DataFrame, owned: DataFrame) -> DataFrame:
+    """units with shard, the component whose compilation takes the unit: each that owns its path, and its own component
+    if that is among them. A unit that several own is in each of their shards; a unit that none takes is an error.
+
+    owned: (component_id, workspace_path), with a row and null path for a component that owns no file by name.
+    """
+    contexts = owned.select(F.col("component_id").alias("shard")).distinct()
+    by_path = units.join(owned.where("workspace_path is not null").select(F.col("component_id").alias("shard"), "workspace_path"), "workspace_path")
+    by_component = units.join(contexts, F.col("component_id") == F.col("shard"))
+    out = by_path.select(*units.columns, "shard").unionByName(by_component.select(*units.columns, "shard"))
+    out = out.groupBy("source_unit_id", "shard").agg(F.first(F.struct(*units.columns)).alias("u")).select("u.*", "shard")
+    if lost := units.select("source_unit_id").join(out.select("source_unit_id"), "source_unit_id", "left_anti").limit(1).collect():
+        raise FactError(f"{lost[0].source_unit_id} belongs to no compilation")
+    return out
