@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from factloom.answer import Answer, refused, support
@@ -91,6 +91,20 @@ def _within(candidates: DataFrame, budget: Budget) -> None:
         raise CapabilityError("source input exceeds the budget")
 
 
+def _answered(capability: Capability, rows: DataFrame, candidates: DataFrame, budget: Budget) -> list[Row]:
+    """At most one row more than the budget; a response without the asked columns, or naming units that no candidate has, is refused."""
+    if lacks := {"symbol_id", "completeness"} - set(rows.columns):
+        raise CapabilityError(f"{capability.name}: response without {', '.join(sorted(lacks))}")
+    found = rows.limit(budget.candidates + 1).collect()
+    if any(r.symbol_id is None or r.completeness is None for r in found):
+        raise CapabilityError(f"{capability.name}: response with nulls")
+    if "source_unit_id" in rows.columns and "source_unit_id" in candidates.columns:
+        units = {r.source_unit_id for r in candidates.select("source_unit_id").distinct().collect()}
+        if any(r.source_unit_id not in units for r in found):
+            raise CapabilityError(f"{capability.name}: response outside the candidates' source units")
+    return found
+
+
 def execute(capability: Capability, facts: Mapping[str, DataFrame], candidates: DataFrame, given: dict[str, object], budget: Budget) -> tuple[str, list[str]]:
     """(state, symbol ids sorted) under the budget; the jobs are cancelled at the deadline.
 
@@ -105,7 +119,7 @@ def execute(capability: Capability, facts: Mapping[str, DataFrame], candidates:
     timer.start()
     try:
         _within(candidates, budget)
-        rows = capability.run(facts, candidates, given).limit(budget.candidates + 1).collect()
+        rows = _answered(capability, capability.run(facts, candidates, given), candidates, budget)
     except CapabilityError:
         raise
     except Exception as e:

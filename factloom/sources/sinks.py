@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.answer import Answer
 from factloom.schema import FactError
+from factloom.sources.staging import staged
 
 
 def records(rows: DataFrame, status: str = "ok") -> DataFrame:
@@ -51,25 +53,31 @@ def targets(lines: Iterable[str], argument: str | None = None) -> list[str]:
     return sorted(found)
 
 
-def paged(fetch: Callable[[str | None], tuple[list[tuple], str | None]], spark: SparkSession, schema: str, key: str, most_pages: int = 100_000) -> DataFrame:
+def paged(fetch: Callable[[str | None], tuple[list[tuple], str | None]], spark: SparkSession, schema: str, key: str, most_pages: int = 100_000, held: int = 50_000) -> DataFrame:
     """All rows of a paged catalog; of rows with the same key the last page's counts.
 
     fetch(cursor) gives (rows, next cursor or null) in the schema's columns. A cursor that comes again is an error.
+    The driver holds up to `held` rows and a page; beyond that they are written to the shared folder.
     """
-
-    def pages() -> Iterator[tuple]:
-        cursor, seen, number = None, set(), 0
-        while True:
-            rows, cursor = fetch(cursor)
-            yield from ((number, *r) for r in rows)
-            number += 1
-            if cursor is None:
-                return
-            if cursor in seen or number >= most_pages:
-                raise ValueError(f"cursor {cursor!r} does not advance")
-            seen.add(cursor)
-
-    all_rows = spark.createDataFrame(list(pages()), f"page long, {schema}")
+    rows, written = [], []
+
+    def frame() -> DataFrame:
+        return spark.createDataFrame(rows, f"page long, {schema}")
+
+    cursor, seen, number = None, set(), 0
+    while True:
+        page, cursor = fetch(cursor)
+        rows += ((number, *r) for r in page)
+        number += 1
+        if cursor is None:
+            break
+        if cursor in seen or number >= most_pages:
+            raise ValueError(f"cursor {cursor!r} does not advance")
+        seen.add(cursor)
+        if len(rows) >= held:
+            written.append(staged(frame(), "pages"))
+            rows = []
+    all_rows = reduce(DataFrame.unionByName, written, frame())
     rest = [c for c in all_rows.columns if c not in ("page", key)]
     last = all_rows.groupBy(key).agg(F.max_by(F.struct(*rest), "page").alias("r"))
     return last.select(key, "r.*")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import schema
-from factloom.plans import index
+from factloom.plans import capability, index
 from factloom.sources import blobs, sinks
 from factloom.sources.store import Store
 
@@ -161,3 +161,26 @@ def test_shards_take_owned_files_and_own_components(spark):
     assert rows(sinks.shard_plan(found, owned).select("shard", "source_unit_id")) == [("c1", "a"), ("c1", "g"), ("c2", "b"), ("c3", "g")]
     with pytest.raises(schema.FactError):
         sinks.shard_plan(found, owned.where(F.col("component_id") == "c1"))
+
+
+def test_pages_beyond_what_the_driver_holds_are_written(spark):
+    pages = {None: ([("k1", "old"), ("k2", "x")], "c1"), "c1": ([("k3", "y")], "c2"), "c2": ([("k1", "new")], None)}
+    for held in (1, 2, 3, 100):
+        assert rows(sinks.paged(pages.__getitem__, spark, "k string, v string", "k", held=held)) == [("k1", "new"), ("k2", "x"), ("k3", "y")]
+
+
+def test_responses_of_capabilities_are_checked(spark):
+    given = symbols(spark, ("s1", "u", "A", None), ("s2", "u", "B", None))
+    budget = capability.Budget(millis=30_000)
+
+    def answer(change):
+        return capability.execute(capability.Capability("x", 1, {}, lambda f, c, g: change(c)), {}, given, {}, budget)
+
+    assert answer(lambda c: c.select("symbol_id", "completeness", "source_unit_id").union(c.select("symbol_id", "completeness", "source_unit_id"))) == ("complete", ["s1", "s2"])
+    for change, told in (
+        (lambda c: c.select("symbol_id"), "without completeness"),
+        (lambda c: c.withColumn("symbol_id", F.lit(None).cast("string")), "nulls"),
+        (lambda c: c.withColumn("source_unit_id", F.lit("other")), "outside"),
+    ):
+        with pytest.raises(capability.CapabilityError, match=told):
+            answer(change)
