@@ -1,12 +1,15 @@
 """Queries over all rows and whole texts, on the smallest tables; tests/test_oracle.py holds those with SQL against it."""
 
 import re
+from pathlib import Path
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.mapping import Facts
+from factloom.plans import capability, kql
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,34 @@ def test_texts_are_read_whole(spark):
     for r in run(spark, "range_text_all").collect():
         assert r.t == re.sub(r"\s+", " ", documents[r.doc_id], flags=re.A).strip(" ")
     assert "substring" not in run(spark, "utf16_offsets")._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_capability_refines_all_rows_of_a_plan(spark, tmp_path):
+    """More candidates than a limit or budget allows: 2,400 classes that apply the type, by unit the asked nation's last."""
+    for path in Path(SF).iterdir():
+        if path.name != "customer.parquet":
+            (tmp_path / path.name).symlink_to(path)
+    rows = spark.read.parquet(f"{SF}/customer.parquet")
+    kind = {c: rows.schema[c].dataType for c in ("c_custkey", "c_nationkey")}
+    many = rows.limit(1).crossJoin(spark.range(2400).withColumnRenamed("id", "k")).withColumn("c_custkey", (F.col("k") * 4).cast(kind["c_custkey"]))
+    many = many.withColumn("c_nationkey", F.when(F.col("k") < 1200, 1).otherwise(3).cast(kind["c_nationkey"])).withColumn("c_mktsegment", F.lit("BUILDING"))
+    many.drop("k").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.REGISTRY["kql_capability"][0](Facts(spark, str(tmp_path)))
+    assert sorted(r.symbol_id for r in found.collect()) == sorted(f"customer:{4 * k}" for k in range(1200, 2400))
+
+
+def test_responses_over_all_rows_are_checked(spark):
+    facts = Facts(spark, SF)
+    plan = kql.Plan(facts["symbols"].where("kind = 'class'"), ("applied_symbol", "x"), 1, (kql.Step("x", ()),))
+
+    def told(change, completeness="complete"):
+        one = capability.Capability("x", 1, {}, lambda f, c, g: change(c.withColumn("completeness", F.lit(completeness))))
+        return capability.Capabilities([one]).refine_all(plan, facts)
+
+    assert told(lambda c: c).rows.count() == plan.rows.count() > 1
+    assert told(lambda c: c.where("false")).metadata == {"state": "no_result"} and told(lambda c: c, "partial").status == "stale"
+    for change, problem in ((lambda c: c.drop("completeness"), "without"), (lambda c: c.withColumn("symbol_id", F.lit(None).cast("string")), "nulls"), (lambda c: c.withColumn("source_unit_id", F.lit("o")), "outside")):
+        with pytest.raises(capability.CapabilityError, match=problem):
+            told(change)
+    assert capability.Capabilities([]).refine_all(plan, facts, required=("x",)).status == "unsupported"
+    assert capability.Capabilities([]).refine_all(plan, facts).rows.count() == plan.rows.count()
