@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import queries
+from factloom.functions import text
 from factloom.mapping import Facts
 from factloom.plans import capability, kql
 
@@ -75,3 +76,15 @@ def test_responses_over_all_rows_are_checked(spark):
             told(change)
     assert capability.Capabilities([]).refine_all(plan, facts, required=("x",)).status == "unsupported"
     assert capability.Capabilities([]).refine_all(plan, facts).rows.count() == plan.rows.count()
+
+
+def test_snippets_read_a_text_once(spark):
+    words = " ".join(f"w{i}" for i in range(300))
+    texts = ["", "\n\n", "één\n\n  naïve 𝒳_1 …b\r\nlast\n", f" {words} \n{words}", "\n".join(f"a{i} é" for i in range(400)), None, "x" * 9 + "\t ", "two ids\nsame"]
+    rows = [(k % 7, x) for k, x in enumerate(texts)]  # the last shares its id with the first
+    found = text.snippets(spark.createDataFrame(rows, "k int, content string"), "k")
+    plan = found._jdf.queryExecution().executedPlan().toString() + run(spark, "snippet_all")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan  # no text is met again by its terms
+    asked = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(rows)], "i int, k int, content string")
+    alone = text.terms(asked, "i").join(asked, "i").select("k", "start_byte", "end_byte", text.snippet(F.col("content"), F.col("start_byte"), F.col("end_byte")).alias("line"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, alone.collect())) and found.count() == 5 + 600 + 800 + 1 + 3
