@@ -516,6 +516,19 @@ def test_irregular_pages_are_bags(spark, monkeypatch):
         assert "Our site" not in r.text and f"lead {r.page_id}" in r.text and f"title {r.page_id}" in r.text
 
 
+def test_a_wrapper_is_the_same_at_any_depth(spark):
+    """A text that another slot repeats is the page's own in its heading, however many elements are around both."""
+    own = lambda i: "Welcome here" if i == 0 else f"Own title {i}"
+    page = lambda i, deep: "<div>" * deep + f"<section><p>Welcome here</p></section><section><h2>{own(i)}</h2><p>words {i}</p></section>" + "</div>" * deep
+    depths = (0, 3, 99, 150, 1500)
+    rows = [(n * 10 + i, f"https://h{n}.example/{i}", page(i, deep)) for n, deep in enumerate(depths) for i in range(4)]
+    found = {r.page_id: r.text for r in html_extract.op6_html(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {n * 10 + i: f"{own(i)}\n\nwords {i}" for n in range(len(depths)) for i in range(4)}
+    top = html_extract.expression(page(1, 3000))[0]
+    again = html_extract.Item.of(json.loads(json.dumps(top.plain())))
+    assert again.shape() == top.shape() and again.size() == top.size() and html_extract.combined(again, top, False).shape() == top.shape()
+
+
 def test_deep_pages(spark):
     deep = lambda i: "<div>" * 5000 + f"<p>text {i}</p><p>always</p><nav>menu</nav>" + "</div>" * 4000 + f"<p>after {i}</p><div class=x>box</div>"
     d = spark.createDataFrame([(i, "https://h.example/", deep(i)) for i in range(4)], "page_id long, url string, html string")
